@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import ngram_join, packing, quality
+from lattica.llm import chat, mixing, ngram_join, packing, quality, urls
 from lattica.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Target shares of the registered mix: sources flattened (power 0.5), languages and forms by name.
+MIX = {"source": 0.5, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": {"prose": 0.9, "table": 0.02}}
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(table(spark, sf_dir, "documents"), MIX)
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -31,10 +43,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_source_mixing": op1_source_mixing,
+    "op2_chat_format": op2_chat_format,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_quality_rules": op6_quality_rules,
     "op9_packing": op9_packing,
+    "op10_url_filters": op10_url_filters,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_chat_format": chat.SQL,
+    "op10_url_filters": urls.sql(),
+}
