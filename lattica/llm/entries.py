@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lattica.llm import chat, mixing, ngram_join, packing, quality, urls
+from lattica.llm import chat, langid, mixing, ngram_join, packing, pii, quality, urls
 from lattica.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,21 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, "base_failed", "kept", "char_distance", "word_distance")
 
 
+def _fold(mod: int):
+    return F.crc32(F.col("doc_id").cast("string")) % mod
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(F.coalesce(_fold(4) != 2, F.lit(True))))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -52,6 +68,8 @@ QUERIES: dict[str, Query] = {
     "op2_chat_format": op2_chat_format,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_quality_rules": op6_quality_rules,
+    "op7_language_id": op7_language_id,
+    "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_url_filters": op10_url_filters,
 }
