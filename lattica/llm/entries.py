@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import chat, langid, mixing, ngram_join, packing, pii, quality, urls
+from lattica.llm import chat, langid, mixing, ngram_join, packing, pii, quality, toxicity, urls
 from lattica.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _fold(mod: int):
+    return F.crc32(F.col("doc_id").cast("string")) % mod
+
+
 #: Target shares of the registered mix: sources flattened (power 0.5), languages and forms by name.
 MIX = {"source": 0.5, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": {"prose": 0.9, "table": 0.02}}
 
@@ -25,6 +29,14 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learn = labels.where(_fold(5) != 0)
+    found = toxicity.score(docs, toxicity.fit(docs, learn))
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    return found.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"), "n_windows", "n_toxic")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -33,10 +45,6 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, "base_failed", "kept", "char_distance", "word_distance")
 
 
-def _fold(mod: int):
-    return F.crc32(F.col("doc_id").cast("string")) % mod
-
-
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(F.coalesce(_fold(4) != 2, F.lit(True))))
@@ -66,6 +74,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_chat_format": op2_chat_format,
+    "op3_toxicity": op3_toxicity,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
