@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,7 +42,7 @@ def topic_of(text: str = "text") -> Column:
     )
 
 
-def target_table(spark: SparkSession, cells: DataFrame, margin: str, targets: Mapping[str, float] | float) -> DataFrame:
+def target_table(cells: DataFrame, margin: str, targets: Mapping[str, float] | float) -> DataFrame:
     """(margin, share) for every value the cells have; shares sum to 1 over these.
 
     A mapping gives shares by value; values it does not name keep their own share of what it leaves. A
@@ -52,8 +52,8 @@ def target_table(spark: SparkSession, cells: DataFrame, margin: str, targets: Ma
     if isinstance(targets, Mapping):
         named = [(str(k), float(v)) for k, v in targets.items()]
         left = max(0.0, 1.0 - sum(v for _, v in named))
-        given = spark.createDataFrame(named, f"{margin} string, named double") if named else own.select(margin).limit(0).withColumn("named", F.lit(0.0))
-        rest = own.join(F.broadcast(given), margin, "left")
+        given = F.create_map(*[F.lit(x) for pair in named for x in pair])[F.col(margin)] if named else F.lit(None).cast("double")
+        rest = own.withColumn("named", given)
         free = F.sum(F.when(F.col("named").isNull(), F.col("own"))).over(W.partitionBy(F.lit(1)))
         raw = rest.select(margin, F.coalesce("named", F.lit(left) * F.col("own") / free).alias("share"))
     else:
@@ -108,7 +108,6 @@ def _calibrated(cells: DataFrame, budget: float) -> DataFrame:
 
 def mixture(docs: DataFrame, targets: Targets, topic: Column | None = None, budget_share: float = 0.5, tokens: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents with their margins and tokens, cells with weights and probabilities)."""
-    spark = docs.sparkSession
     margins = ["source", "lang", "topic"]
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
     rows = docs.select(
@@ -120,7 +119,7 @@ def mixture(docs: DataFrame, targets: Targets, topic: Column | None = None, budg
     cells = materialize(cells, "cells")
     small = cells.count() <= SMALL_CELLS
     for m in margins:
-        cells = cells.join(F.broadcast(target_table(spark, cells, m, targets.get(m, {}))), m, "left").fillna(0.0, [f"{m}_share"])
+        cells = cells.join(F.broadcast(target_table(cells, m, targets.get(m, {}))), m, "left").fillna(0.0, [f"{m}_share"])
     cells = rake(cells.coalesce(1) if small else cells, margins, small=small)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     return rows, _calibrated(cells, budget_share * total)
