@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.model import Graph
 from lattica.plans.loop import cut, fingerprint
 
 
@@ -47,3 +48,180 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return nodes.join(e.select(F.col("src").alias("id"), F.col("dst").alias("component")), "id", "left").select(
         "id", F.coalesce("component", "id").alias("component")
     )
+
+
+def symmetric_components(g: Graph) -> DataFrame:
+    """(id, component) of every node, components numbered from 0 by their smallest node."""
+    found = connected_components(g.arcs)
+    labels = g.nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
+    return renumber(labels)
+
+
+def renumber(labels: DataFrame) -> DataFrame:
+    """(id, component) from (id, label): labels numbered from 0 in ascending order."""
+    from lattica.operators.transform import global_rank
+
+    ranks = global_rank(labels.select("label").distinct(), "label")
+    return labels.join(ranks, "label").select("id", F.col("rank").alias("component"))
+
+
+def renumber_by_size(components: DataFrame) -> DataFrame:
+    """(id, component): the largest component is 0; equal sizes in the order they had."""
+    from lattica.operators.transform import global_rank
+
+    sizes = components.groupBy("component").agg((-F.count(F.lit(1))).alias("minus"))
+    ranks = global_rank(sizes, "minus", "component").select("component", "rank")
+    return components.join(ranks, "component").select("id", F.col("rank").alias("component"))
+
+
+def _trim(e: DataFrame, gone: list[DataFrame]) -> DataFrame:
+    """Arcs left when nodes without arcs in or out go, again and again; the nodes gone are appended to ``gone``."""
+    while True:
+        src, dst = e.select(F.col("src").alias("id")).distinct(), e.select(F.col("dst").alias("id")).distinct()
+        both = cut(src.join(dst, "id", "left_semi"))
+        kept = cut(e.join(both.select(F.col("id").alias("src")), "src", "left_semi").join(both.select(F.col("id").alias("dst")), "dst", "left_semi"))
+        lost = src.union(dst).distinct().join(both, "id", "left_anti")
+        gone.append(cut(lost.withColumn("component", F.col("id"))))
+        if not gone[-1].take(1):
+            gone.pop()
+            return kept
+        e = kept
+
+
+def _spread(e: DataFrame, start: DataFrame) -> DataFrame:
+    """(id, value): the largest start value that reaches each node along e; only nodes that changed send on."""
+    state = cut(start)
+    changed = state
+    while changed.take(1):
+        sent = e.join(changed, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.max("value").alias("new"))
+        merged = state.join(sent, "id", "left")
+        improved = F.coalesce(F.col("new") > F.col("value"), F.lit(False))
+        merged = cut(merged.select("id", F.when(improved, F.col("new")).otherwise(F.col("value")).alias("value"), improved.alias("up")))
+        state, changed = merged.select("id", "value"), merged.where("up").select("id", "value")
+    return state
+
+
+#: Arcs up to which strong components are found on the driver: a long chain of small components costs a round each.
+SMALL_ARCS = 200_000
+
+
+def _tarjan(arcs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(node, smallest node of its strong component) of every endpoint, without recursion."""
+    succ: dict[int, list[int]] = {}
+    for a, b in arcs:
+        succ.setdefault(a, []).append(b)
+        succ.setdefault(b, [])
+    index: dict[int, int] = {}
+    low: dict[int, int] = {}
+    stack, on, out = [], set(), []
+    for root in succ:
+        if root in index:
+            continue
+        work = [(root, iter(succ[root]))]
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        on.add(root)
+        while work:
+            node, rest = work[-1]
+            for y in rest:
+                if y not in index:
+                    index[y] = low[y] = len(index)
+                    stack.append(y)
+                    on.add(y)
+                    work.append((y, iter(succ[y])))
+                    break
+                if y in on:
+                    low[node] = min(low[node], index[y])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == index[node]:
+                    cut_at = stack.index(node, 0) if stack[-1] != node else len(stack) - 1
+                    part = stack[cut_at:]
+                    del stack[cut_at:]
+                    on.difference_update(part)
+                    least = min(part)
+                    out.extend((x, least) for x in part)
+    return out
+
+
+def strong_components(g: Graph, small_arcs: int = SMALL_ARCS) -> DataFrame:
+    """(id, component) of every node; component is the smallest id in it.
+
+    Graphs of at most ``small_arcs`` arcs (counted first) are done on the driver; larger ones by rounds:
+    Nodes that cannot lie on a cycle are trimmed. Then every node takes the largest id that reaches it as its
+    colour; inside a colour, the nodes that reach the node of that id form one component and leave. Rounds
+    repeat on the rest.
+    """
+    parts: list[DataFrame] = []
+    e = cut(g.arcs.select("src", "dst").where("src != dst").distinct())
+    if e.limit(small_arcs + 1).count() <= small_arcs:
+        found = _tarjan([(r[0], r[1]) for r in e.collect()])
+        named = g.arcs.sparkSession.createDataFrame(found, "id long, low long")
+        return g.nodes.join(named, "id", "left").select("id", F.coalesce("low", "id").alias("component"))
+    while True:
+        e = _trim(e, parts)
+        if not e.take(1):
+            break
+        nodes = cut(e.select(F.col("src").alias("id")).distinct())
+        colour = _spread(e, nodes.withColumn("value", F.col("id")))
+        inside = e.join(colour.select(F.col("id").alias("src"), F.col("value").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("value").alias("b")), "dst")
+        inside = cut(inside.where("a = b").select("src", "dst"))
+        found = frontier = cut(colour.where("id = value").select("id", F.col("value").alias("component")))
+        while True:
+            back = inside.join(frontier.select(F.col("id").alias("dst"), "component"), "dst").select(F.col("src").alias("id"), "component").distinct()
+            frontier = cut(back.join(found, "id", "left_anti"))
+            if not frontier.take(1):
+                break
+            found = cut(found.union(frontier))
+        parts.append(found)
+        e = cut(e.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti"))
+    if not parts:
+        return g.nodes.select("id", F.col("id").alias("component"))
+    all_parts = parts[0]
+    for p in parts[1:]:
+        all_parts = all_parts.union(p)
+    low = all_parts.groupBy("component").agg(F.min("id").alias("low"))
+    named = all_parts.join(low, "component").select("id", "low")
+    return g.nodes.join(named, "id", "left").select("id", F.coalesce("low", "id").alias("component"))
+
+
+def condensation(g: Graph, components: DataFrame) -> DataFrame:
+    """(src, dst, start, end) of the graph of components: for each pair one arc of the graph that joins them.
+
+    It is the one of the largest indegree of its start plus outdegree of its end; of ties, of the smallest ids.
+    """
+    from lattica.operators.stats import indegrees, outdegrees
+
+    c = components
+    arcs = g.arcs.select("src", "dst").distinct()
+    arcs = arcs.join(c.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(c.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst").where("a != b")
+    arcs = arcs.join(indegrees(g).select(F.col("id").alias("src"), F.col("degree").alias("i")), "src").join(outdegrees(g).select(F.col("id").alias("dst"), F.col("degree").alias("o")), "dst")
+    best = arcs.groupBy("a", "b").agg(F.max(F.struct((F.col("i") + F.col("o")).alias("w"), (-F.col("src")).alias("s"), (-F.col("dst")).alias("t"))).alias("x"))
+    return best.select(F.col("a").alias("src"), F.col("b").alias("dst"), (-F.col("x.s")).alias("start"), (-F.col("x.t")).alias("end"))
+
+
+def topological_levels(g: Graph) -> DataFrame:
+    """(id, level): in each round the nodes without arcs from what is left go; level is the round.
+
+    Nodes on cycles, and what they lead to, have no row.
+    """
+    e = cut(g.arcs.select("src", "dst").distinct())
+    left = g.nodes
+    out, level = None, 0
+    while True:
+        first = cut(left.join(e.select(F.col("dst").alias("id")), "id", "left_anti").select("id", F.lit(level).alias("level")))
+        out = first if out is None else out.union(first)
+        if not first.take(1):
+            return cut(out)
+        left = cut(left.join(first.select("id"), "id", "left_anti"))
+        e = cut(e.join(first.select(F.col("id").alias("src")), "src", "left_anti"))
+        level += 1
+
+
+def is_acyclic(g: Graph) -> bool:
+    """No cycle, and so no loop either."""
+    if g.arcs.where("src = dst").take(1):
+        return False
+    return not _trim(cut(g.arcs.select("src", "dst").distinct()), []).take(1)
