@@ -46,7 +46,8 @@ def target_table(cells: DataFrame, margin: str, targets: Mapping[str, float] | f
     """(margin, share) for every value the cells have; shares sum to 1 over these.
 
     A mapping gives shares by value; values it does not name keep their own share of what it leaves. A
-    number t in [0, 1] flattens: shares in proportion to the values' own tokens to the power t.
+    number t in [0, 1] flattens: shares in proportion to the values' own tokens to the power t. Where the named
+    shares leave nothing for any value that the cells have, every share is 0 and nothing is drawn.
     """
     own = cells.groupBy(margin).agg(F.sum("tokens").alias("own")).where("own > 0")
     if isinstance(targets, Mapping):
@@ -55,11 +56,11 @@ def target_table(cells: DataFrame, margin: str, targets: Mapping[str, float] | f
         given = F.create_map(*[F.lit(x) for pair in named for x in pair])[F.col(margin)] if named else F.lit(None).cast("double")
         rest = own.withColumn("named", given)
         free = F.sum(F.when(F.col("named").isNull(), F.col("own"))).over(W.partitionBy(F.lit(1)))
-        raw = rest.select(margin, F.coalesce("named", F.lit(left) * F.col("own") / free).alias("share"))
+        raw = rest.select(margin, F.coalesce("named", F.try_divide(F.lit(left) * F.col("own"), free)).alias("share"))
     else:
         raw = own.select(margin, F.pow("own", F.lit(float(targets))).alias("share"))
     total = raw.agg(F.sum("share").alias("total"))
-    return raw.join(F.broadcast(total)).select(margin, (F.col("share") / F.col("total")).alias(f"{margin}_share"))
+    return raw.join(F.broadcast(total)).select(margin, F.coalesce(F.try_divide("share", "total"), F.lit(0.0)).alias(f"{margin}_share"))
 
 
 def rake(cells: DataFrame, margins: list[str], tolerance: float = 1e-6, max_rounds: int = 60, small: bool = False) -> DataFrame:
@@ -69,12 +70,12 @@ def rake(cells: DataFrame, margins: list[str], tolerance: float = 1e-6, max_roun
     others are as near as the rounds brought them.
     """
     all_tokens = cells.agg(F.sum("tokens").alias("all_tokens"))
-    cells = cells.join(F.broadcast(all_tokens)).withColumn("weight", F.col("tokens") / F.col("all_tokens")).drop("all_tokens")
+    cells = cells.join(F.broadcast(all_tokens)).withColumn("weight", F.coalesce(F.try_divide("tokens", "all_tokens"), F.lit(0.0))).drop("all_tokens")
     for done in range(0, max_rounds, ROUNDS_PER_CUT):
         for _ in range(ROUNDS_PER_CUT):
             for m in margins:
                 now = F.sum("weight").over(W.partitionBy(m))
-                cells = cells.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"{m}_share") / now).otherwise(0.0))
+                cells = cells.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"{m}_share"), now), F.lit(0.0)))
         cells = materialize(cells, "rake")
         cells = cells.coalesce(1) if small else cells
         worst = 0.0
@@ -92,12 +93,12 @@ def _calibrated(cells: DataFrame, budget: float) -> DataFrame:
     Cells are taken by falling weight per token: the first ones are full; the factor for the rest follows
     from running sums, so no search is needed.
     """
-    ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
+    ratio = F.coalesce(F.try_divide("weight", "tokens"), F.lit(0.0))
     order = W.partitionBy(F.lit(1)).orderBy(F.col("ratio").desc(), "source", "lang", "topic")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumn("ratio", ratio)
     cells = cells.withColumns({"full": F.coalesce(F.sum("tokens").over(before), F.lit(0)), "above": F.coalesce(F.sum("weight").over(before), F.lit(0.0)), "all_weight": F.sum("weight").over(W.partitionBy(F.lit(1)))})
-    factor = (F.lit(float(budget)) - F.col("full")) / (F.col("all_weight") - F.col("above"))
+    factor = F.try_divide(F.lit(float(budget)) - F.col("full"), F.col("all_weight") - F.col("above"))
     # the first cell whose own factor leaves it below 1 sets the factor of all that follow
     fits = (F.col("all_weight") - F.col("above") > 1e-12) & (factor * F.col("ratio") < 1)
     cells = cells.withColumn("c", F.when(fits, factor))
