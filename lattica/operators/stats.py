@@ -64,7 +64,7 @@ def summary(g: Graph) -> DataFrame:
     )
     return out.crossJoin(into).select(
         "nodes", "arcs", "loops", "dangling", "terminal", "min_outdegree", "min_outdegree_node", "max_outdegree", "max_outdegree_node", "min_indegree", "min_indegree_node",
-        "max_indegree", "max_indegree_node", F.round(F.col("gaps") / F.col("arcs"), 6).alias("successor_avg_gap"), F.round(F.col("far") / F.col("arcs"), 6).alias("avg_locality"),
+        "max_indegree", "max_indegree_node", F.round(F.try_divide("gaps", "arcs"), 6).alias("successor_avg_gap"), F.round(F.try_divide("far", "arcs"), 6).alias("avg_locality"),
     )
 
 
