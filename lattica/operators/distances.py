@@ -25,7 +25,7 @@ def all_distances(g: Graph, max_distance: int | None = None) -> DataFrame:
     One frontier loop over all roots together; as the pairs may be as many as n^2, larger graphs are refused.
     """
     if g.n * g.n > EXACT_PAIRS:
-        raise ValueError(f"{g.n} nodes are too many for exact distances; use hyperball()")
+        raise ValueError(f"{g.n} nodes are too many for exact distances; use ball_sketches()")
     arcs = g.arcs.select("src", "dst").where("src != dst").distinct()
     seen = frontier = cut(g.nodes.select(F.col("id").alias("root"), "id", F.lit(0).alias("distance")))
     d = 0
@@ -119,13 +119,13 @@ def estimate(registers: str = "regs"):
 
 
 @dataclass
-class HyperBall:
+class BallSketches:
     sums: DataFrame  # (id, reachable, total, harmonic, discounted, closeness, lin, nieminen)
     neighbourhood: list[float]
     iterations: int
 
 
-def hyperball(g: Graph, log2m: int = 6, seed: int = 0, max_iterations: int | None = None, threshold: float | None = None, discount: Callable[[int], float] | None = None, weights: DataFrame | None = None) -> HyperBall:
+def ball_sketches(g: Graph, log2m: int = 6, seed: int = 0, max_iterations: int | None = None, threshold: float | None = None, discount: Callable[[int], float] | None = None, weights: DataFrame | None = None) -> BallSketches:
     """Approximate balls of growing radius: one sketch a node, merged with its successors' until none changes.
 
     Of ``(id, weight)`` nodes count as so many elements. The sums are of paths that leave a node; give the transpose for the
@@ -171,7 +171,7 @@ def hyperball(g: Graph, log2m: int = 6, seed: int = 0, max_iterations: int | Non
             break
     arcs.unpersist()
     sums = from_sums(state.select("id", F.col("size").alias("reachable"), "total", "harmonic", "discounted"))
-    return HyperBall(sums, nf, t)
+    return BallSketches(sums, nf, t)
 
 
 def relative_error(log2m: int) -> float:

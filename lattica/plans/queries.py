@@ -351,9 +351,9 @@ def diameter(s, d):
     return D.eccentricities(D.all_distances(g)).agg(F.max("forward").alias("diameter"))
 
 
-@query("hyperball")
-def hyperball(s, d):
-    return D.hyperball(_orders2(s, d), log2m=6, max_iterations=6).sums
+@query("ball_sketches")
+def ball_sketches(s, d):
+    return D.ball_sketches(_orders2(s, d), log2m=6, max_iterations=6).sums
 
 
 @query("erdos_renyi")

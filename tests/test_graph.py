@@ -107,10 +107,10 @@ def test_distances(spark):
     assert rows == ecc and (sweep.extremes.diameter, sweep.extremes.radius) == (4, 3)
 
 
-def test_hyperball_is_near_exact(spark):
+def test_ball_sketches_is_near_exact(spark):
     g = T.erdos_renyi(spark, 60, 0.05, seed=2)
     exact = pairs(D.centralities(D.all_distances(g)).select("id", "reachable"))
-    ball = D.hyperball(g, log2m=10)
+    ball = D.ball_sketches(g, log2m=10)
     error = max(abs(v - exact[k]) / exact[k] for k, v in pairs(ball.sums.select("id", "reachable")).items())
     assert error < 0.15 and ball.neighbourhood == sorted(ball.neighbourhood)
 
