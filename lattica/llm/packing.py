@@ -51,7 +51,7 @@ class WordTokenizer:
         bare = spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
         self.bare = Tokenizer.from_str(json.dumps(bare)).model
         self.letters = _byte_letters()
-        self.words: dict[bytes, int] = {}
+        self.words: dict[int, int] = {}
         self.pieces: dict[str, list[int]] = {}
         self.reset()
         #: Texts of which NFC, lower-casing and white space are plain: printable ASCII and Latin-1 letters.
@@ -71,42 +71,62 @@ class WordTokenizer:
             self.pieces[text] = ids
         return ids
 
-    def word(self, raw: bytes) -> int:
-        """Index of a word's ids, learned if need be."""
-        text = raw.decode()
+    def ids_of(self, text: str) -> list[int]:
+        """Ids of one word."""
+        bare = text.rstrip(".,")
+        if text.isascii() and bare.isalpha():
+            marks = text[len(bare) :]
+            return self.piece(bare.lower()) + self.piece(marks) if marks else self.piece(bare.lower())
         if self.plain.fullmatch(text):
-            ids = [i for p in self.split.findall(text.lower()) for i in self.piece(p)]
-        else:
-            ids = self.full.encode(text, add_special_tokens=False).ids
-        at, to = len(self.words), self.used + len(ids)
+            return [i for p in self.split.findall(text.lower()) for i in self.piece(p)]
+        return self.full.encode(text, add_special_tokens=False).ids
+
+    def learn(self, hashes: list[int], texts: list[str]) -> None:
+        """Keep the ids of new words."""
+        ids = [self.ids_of(t) for t in texts]
+        flat = [i for x in ids for i in x]
+        at, n, to = len(self.words), len(ids), self.used + len(flat)
         if to > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(to, len(self.ids)), np.uint32)])
-        if at + 1 >= len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
-        self.ids[self.used : to] = ids
-        self.ends[at + 1] = self.used = to
-        self.words[raw] = at
-        return at
+        if at + n >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(max(at + n, len(self.ends)), np.int64)])
+        self.ids[self.used : to] = flat
+        self.ends[at + 1 : at + n + 1] = self.used + np.cumsum([len(x) for x in ids])
+        self.used = to
+        self.words.update(zip(hashes, range(at, at + n), strict=True))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all documents, bounds of each) for UTF-8 bytes of whole documents."""
-        raw, counts, index = data[offsets[0] : offsets[-1]].tobytes(), [], []
-        base = int(offsets[0])
-        known = self.words
-        if len(known) > MEMORY:
+        """(ids of all documents, bounds of each) for UTF-8 bytes of whole documents.
+
+        Each distinct word of the run is looked up once, by its 64-bit hash.
+        """
+        if len(self.words) > MEMORY:
             self.reset()
-        for a, b in zip((offsets[:-1] - base).tolist(), (offsets[1:] - base).tolist(), strict=True):
-            ws = raw[a:b].split()
-            counts.append(len(ws))
-            try:
-                index.extend([known[w] for w in ws])
-            except KeyError:
-                index.extend([known[w] if w in known else self.word(w) for w in ws])
-        at = np.array(index, np.int64)
-        start, length = self.ends[at], self.ends[at + 1] - self.ends[at]
+        w = _text.Words(data, offsets)
+        if not len(w.hash):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        order = np.argsort(w.hash)
+        ordered = w.hash[order]
+        first = np.ones(len(order), bool)
+        np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+        keys, place = ordered[first].tolist(), order[first]
+        known = self.words
+        index = [known.get(k, -1) for k in keys]
+        new = [i for i, x in enumerate(index) if x < 0]
+        if new:
+            raw, at = w.data.tobytes(), place[new]
+            spans = zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)
+            base = len(known)
+            self.learn([keys[i] for i in new], [raw[a:b].decode() for a, b in spans])
+            for j, i in enumerate(new):
+                index[i] = base + j
+        at = np.empty(len(order), np.int64)
+        at[order] = np.array(index, np.int64)[np.cumsum(first) - 1]
+        start = self.ends[at]
+        length = self.ends[at + 1] - start
         to = np.concatenate([[0], np.cumsum(length)])
         where = np.repeat(start - to[:-1], length) + np.arange(to[-1])
-        return self.ids[where], to[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
+        return self.ids[where], to[w.bounds]
 
 
 def binary_lengths(n: int, max_len: int = 4096) -> list[int]:
@@ -131,7 +151,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_len: int = 4
         def step(batch):
             data, offsets = _text.text_buffers(batch.column("text"))
             names = batch.column("doc_id")
-            for a, b in _text.runs(offsets):
+            for a, b in _text.runs(offsets, 2 * _text.RUN_BYTES):
                 ids, bounds = tok.encode(data, offsets[a : b + 1])
                 out = [[] for _ in range(5)]
                 pieces = []
