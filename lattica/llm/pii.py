@@ -39,6 +39,8 @@ TOKEN = rf"(?<![^{SPACE}])[^0-9{SPACE}]*+[0-9][^{SPACE}]*+"
 #: The identifier in it.
 CORE = r"[A-Za-z0-9](?:[A-Za-z0-9@._/+-]*[A-Za-z0-9])?"
 BLOCK = 512
+#: Characters before a span that its left context is read from.
+LEFT = 80
 
 
 @dataclass(frozen=True)
@@ -123,7 +125,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def mentions(rows: DataFrame, boot: Bootstrap) -> DataFrame:
-    """Adds ``mentions``: array<struct<start, end, kind, m, left1, left2>> of base spans and candidate tokens."""
+    """Adds ``mentions``: array<struct<start, end, kind, m, left>> of base spans and candidate tokens."""
     rows = rows.withColumn("_tok", F.when(F.col("_t").rlike("[0-9]"), located(F.col("_t"), TOKEN)).otherwise(F.array(F.lit(""))))
     rows = rows.withColumn("_tok", placed("_tok"))
     base = F.concat(*[F.transform(k, _labelled(k, True)) for k in PATTERNS])
@@ -138,12 +140,14 @@ def mentions(rows: DataFrame, boot: Bootstrap) -> DataFrame:
         "x -> named_struct('start', x.start, 'end', x.start + char_length(x.m), 'kind', cast(null as string), 'm', x.m))"
     )
     rows = rows.withColumn("_all", F.concat("_base", free))
-    left = "substring(_t, greatest(x.start - 80, 0) + 1, least(x.start, 80))"
-    with_left = F.expr(
-        "transform(_all, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind, 'm', x.m, 'left', "
-        f"regexp_replace(lower(regexp_extract({left}, '([^{SPACE}]+[{SPACE}]+)?[^{SPACE}]+[{SPACE}]*$', 0)), '[0-9]', '0')))"
-    )
-    return rows.withColumn("mentions", with_left).drop("_tok", "_cand", "_base", "_all")
+
+    def with_left(x: Column) -> Column:
+        # the pattern is a Python literal: in SQL text Spark would take its backslashes for escapes
+        before = F.substring(F.col("_t"), F.greatest(x["start"] - LEFT, F.lit(0)) + 1, F.least(x["start"], F.lit(LEFT)))
+        words = F.regexp_extract(before, f"([^{SPACE}]+[{SPACE}]+)?[^{SPACE}]+[{SPACE}]*$", 0)
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["m"].alias("m"), F.regexp_replace(F.lower(words), "[0-9]", "0").alias("left"))
+
+    return rows.withColumn("mentions", F.transform("_all", with_left)).drop("_tok", "_cand", "_base", "_all")
 
 
 def _patterns(left: Column) -> Column:

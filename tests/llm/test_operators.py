@@ -94,6 +94,27 @@ def test_bootstrap_finds_what_seeds_point_at(spark):
     assert found[200] == ""
 
 
+def _found(spark, rows):
+    return {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_left_contexts_are_whole_words(spark):
+    cases = [("we saw badge number: QX-7000-Z", "badge number: "), ("el n\u00famero 12345678", "el n\u00famero "), ("my ssn-nr 12345678", "my ssn-nr "), ("fuzzy\ty2\n12345678", "fuzzy\ty0\n")]
+    rows = pii.mentions(pii.base_spans(spark.createDataFrame(list(enumerate(t for t, _ in cases)), "doc_id long, text string")), pii.Bootstrap())
+    got = {r["doc_id"]: [m["left"] for m in r["mentions"]] for r in rows.collect()}
+    assert got == {i: [left] for i, (_, left) in enumerate(cases)}
+
+
+@pytest.mark.parametrize("label", ["n\u00famero", "ssn-nr", "lobby key"])
+def test_bootstrap_contexts(spark, label):
+    # 'key' alone is too common to be trusted; 'lobby key' is not
+    rows = [(i, f"{label} {1000 + i}@corp{i}.example.org key fact") for i in range(20)] + [(100 + i, f"then {label} QX-{7000 + i}-Z here") for i in range(4)] + [(300, "key word " * 200)]
+    found = _found(spark, rows)
+    for i in range(4):
+        at = rows[20 + i][1].index("QX")
+        assert found[100 + i] == f"id:{at}:{at + 9}"
+
+
 def test_mixing(spark, docs, empty):
     rows = [(i, "w " * (5 + i % 7), "en" if i % 4 else "de", f"s{i % 3}") for i in range(3000)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
