@@ -1,8 +1,8 @@
 """Personal data by base patterns and bootstrapped contextual extraction, in DataFrame operations only.
 
 Base spans come from four fixed patterns with checks. They seed the bootstrap: their left contexts (one
-word, two words) are lexical patterns, and every identifier-shaped token in the corpus is a candidate
-instance. Pattern and instance scores are computed in turn over the pattern-instance graph: a pattern is
+word, two words) are lexical patterns, and every identifier-shaped run of a token in the corpus is a candidate
+instance; what precedes it in the token belongs to its left context. Pattern and instance scores are computed in turn over the pattern-instance graph: a pattern is
 worth the share of its occurrences, counted over the whole corpus, that extract scored instances; an
 instance is worth the noisy-or of its patterns. Patterns of enough distinct instances and confidence then
 mark candidates that no base pattern knows.
@@ -34,10 +34,10 @@ FOUND = "id"
 
 SENTINEL, STAND_IN = "\ue000", "\ue001"
 SPACE = r"\x20\x09-\x0D"
-#: A word that holds a digit.
-TOKEN = rf"(?<![^{SPACE}])[^0-9{SPACE}]*+[0-9][^{SPACE}]*+"
-#: The identifier in it.
-CORE = r"[A-Za-z0-9](?:[A-Za-z0-9@._/+-]*[A-Za-z0-9])?"
+#: Characters of an identifier; it starts and ends with a letter or digit. A token may hold several runs of them.
+BODY = "A-Za-z0-9@._/+-"
+#: The start of a run that stands inside a token, up to its first letter or digit.
+INNER = rf"(?:(?<=[^{SPACE}{BODY}])[@._/+-]*+|(?<![{BODY}])[@._/+-]++)[A-Za-z0-9]"
 BLOCK = 512
 #: Characters before a span that its left context is read from.
 LEFT = 80
@@ -124,28 +124,39 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return rows.drop(*[f"_{k}" for k in PATTERNS])
 
 
+def _before(start: Column) -> Column:
+    return F.substring(F.col("_t"), F.greatest(start - LEFT, F.lit(0)) + 1, F.least(start, F.lit(LEFT)))
+
+
+def _context(before: Column) -> Column:
+    """The last two words before a place, what stands before it in its own token being one of them."""
+    # the pattern is a Python literal: in SQL text Spark would take its backslashes for escapes
+    words = F.regexp_extract(before, f"([^{SPACE}]+[{SPACE}]+)?[^{SPACE}]+[{SPACE}]*$", 0)
+    return F.regexp_replace(F.lower(words), "[0-9]", "0")
+
+
 def mentions(rows: DataFrame, boot: Bootstrap) -> DataFrame:
-    """Adds ``mentions``: array<struct<start, end, kind, m, left>> of base spans and candidate tokens."""
-    rows = rows.withColumn("_tok", F.when(F.col("_t").rlike("[0-9]"), located(F.col("_t"), TOKEN)).otherwise(F.array(F.lit(""))))
+    """Adds ``mentions``: array<struct<start, end, kind, m, left, loose>> of base spans and candidate runs."""
+    run = rf"(?<![{BODY}])(?=(?:[A-Za-z@._/+-]*+[0-9]){{{max(boot.min_digits, 1)}}})[{BODY}]++"
+    rows = rows.withColumn("_tok", F.when(F.col("_t").rlike("[0-9]"), located(F.col("_t"), run)).otherwise(F.array(F.lit(""))))
     rows = rows.withColumn("_tok", placed("_tok"))
     base = F.concat(*[F.transform(k, _labelled(k, True)) for k in PATTERNS])
     rows = rows.withColumn("_base", base)
     cut = F.expr(
-        f"transform(_tok, x -> named_struct('start', x.start + locate(regexp_extract(x.m, '{CORE}', 0), x.m) - 1, 'm', regexp_extract(x.m, '{CORE}', 0)))"
+        "transform(_tok, x -> named_struct('start', x.start + char_length(regexp_extract(x.m, '^[@._/+-]*', 0)), 'm', regexp_replace(x.m, '^[@._/+-]+|(?<![@._/+-])[@._/+-]+$', '')))"
     )
     rows = rows.withColumn("_cand", cut)
     free = F.expr(
-        f"transform(filter(_cand, x -> char_length(regexp_replace(x.m, '[^0-9]', '')) >= {boot.min_digits} and char_length(x.m) <= 64 "
-        "and not exists(_base, b -> b.start < x.start + char_length(x.m) and x.start < b.end)), "
+        "transform(filter(_cand, x -> not exists(_base, b -> b.start < x.start + char_length(x.m) and x.start < b.end)), "
         "x -> named_struct('start', x.start, 'end', x.start + char_length(x.m), 'kind', cast(null as string), 'm', x.m))"
     )
     rows = rows.withColumn("_all", F.concat("_base", free))
 
     def with_left(x: Column) -> Column:
-        # the pattern is a Python literal: in SQL text Spark would take its backslashes for escapes
-        before = F.substring(F.col("_t"), F.greatest(x["start"] - LEFT, F.lit(0)) + 1, F.least(x["start"], F.lit(LEFT)))
-        words = F.regexp_extract(before, f"([^{SPACE}]+[{SPACE}]+)?[^{SPACE}]+[{SPACE}]*$", 0)
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["m"].alias("m"), F.regexp_replace(F.lower(words), "[0-9]", "0").alias("left"))
+        before = _before(x["start"])
+        # inside a token, but where no run starts: context_totals does not see such a place in the text
+        loose = before.rlike(f"[^{SPACE}]$") & ~F.concat(before, F.substring(F.col("_t"), x["start"] + 1, F.lit(1))).rlike(f"{INNER}$")
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["m"].alias("m"), _context(before).alias("left"), loose.alias("loose"))
 
     return rows.withColumn("mentions", F.transform("_all", with_left)).drop("_tok", "_cand", "_base", "_all")
 
@@ -156,12 +167,26 @@ def _patterns(left: Column) -> Column:
     return F.array_compact(F.array(F.when(F.size(words) >= 1, F.element_at(words, -1)), F.when(F.size(words) >= 2, F.concat_ws(" ", F.element_at(words, -2), F.element_at(words, -1)))))
 
 
-def context_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, total): how often each context stands in the corpus, over all documents."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), "[0-9]", "0"), f"[{SPACE}]+"), lambda w: w != "")
-    rows = docs.select(words.alias("w"))
+def context_totals(docs: DataFrame, patterns: DataFrame, loose: DataFrame) -> DataFrame:
+    """(pattern, total): how often each context stands in the corpus, over all documents.
+
+    Contexts are words, two words, and what stands in a token before a run of it; ``loose(pattern)`` are
+    those of mentions that start elsewhere in a token.
+    """
+    fold = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
+    split = lambda c: F.filter(F.split(c, f"[{SPACE}]+"), lambda w: w != "")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(split(fold(text)).alias("w"))
     pairs = F.expr("if(size(w) > 1, zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> concat(a, ' ', b)), cast(array() as array<string>))")
     rows = rows.select(F.explode(F.concat("w", pairs)).alias("pattern"))
+    # few tokens hold an inner run: they are taken out with the word before them, and only they are cut up
+    clean = F.when(F.contains(text, F.lit(SENTINEL)), F.translate(text, SENTINEL, STAND_IN)).otherwise(text)
+    few = docs.select(split(clean).alias("w")).where(F.size("w") > 0)
+    few = few.select(F.explode(F.filter(F.zip_with(F.expr("concat(array(''), slice(w, 1, size(w) - 1))"), "w", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["b"].rlike(INNER))).alias("x")).select("x.a", "x.b")
+    few = few.withColumn("_in", located(F.col("b"), INNER)).withColumn("_in", placed("_in")).select("a", "b", F.explode("_in.end").alias("end"))
+    few = few.select(fold("a").alias("a"), fold(F.expr(f"substring(b, greatest(end - 1 - {LEFT}, 0) + 1, least(end - 1, {LEFT}))")).alias("b"))
+    few = few.select(F.explode(F.expr("if(a = '', array(b), array(b, concat(a, ' ', b)))")).alias("pattern"))
+    rows = rows.union(few).union(loose)
     if patterns.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(patterns), "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
     return rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).join(patterns, "pattern", "left_semi")
@@ -183,7 +208,7 @@ def bootstrap(docs: DataFrame, found: DataFrame, boot: Bootstrap) -> DataFrame:
     useful = materialize(useful, "contexts")
     if not useful.take(1):
         return none
-    totals = materialize(context_totals(docs, useful), "totals")
+    totals = materialize(context_totals(docs, useful, at.where("loose").select(F.explode(_patterns(F.col("left"))).alias("pattern"))), "totals")
     edges = materialize(edges.join(totals, "pattern"), "graph")
     seeds = edges.where("kind is not null").select("inst").distinct().withColumn("score", F.lit(1.0))
     scores, patterns = seeds, None

@@ -115,6 +115,30 @@ def test_bootstrap_contexts(spark, label):
         assert found[100 + i] == f"id:{at}:{at + 9}"
 
 
+def test_every_run_of_a_token_is_a_candidate(spark):
+    cases = [
+        ("x id=12345678", ["12345678"]), ("ID:QX-7000-Z", ["QX-7000-Z"]), ("(ref,99887766)", ["99887766"]), ("acct#55667788", ["55667788"]), ("n\u00ba12345678", ["12345678"]),
+        ("a:1234;--b-5678-", ["1234", "b-5678"]), ("Z" + "9" * 99, ["Z" + "9" * 99]), ("ab12 c:3 (45", []),
+    ]
+    rows = pii.mentions(pii.base_spans(spark.createDataFrame(list(enumerate(t for t, _ in cases)), "doc_id long, text string")), pii.Bootstrap()).collect()
+    for r in rows:
+        text, want = cases[r["doc_id"]]
+        assert [m["m"] for m in r["mentions"]] == want and all(text[m["start"] : m["end"]] == m["m"] for m in r["mentions"])
+    assert {r["doc_id"]: r["mentions"][0]["left"] for r in rows if r["doc_id"] < 5} == {0: "x id=", 1: "id:", 2: "(ref,", 3: "acct#", 4: "n\u00ba"}
+
+
+def test_bootstrap_finds_labels_glued_on(spark):
+    rows = [(i, f"acct#u{1000 + i}@corp{i}.example.org stays") for i in range(20)] + [(100 + i, f"on acct#5566{7000 + i}, and acct#{'7' * 70}{i}") for i in range(4)]
+    rows += [(300 + i, f"see:{1000 + i}@corp{i}.example.org") for i in range(4)] + [(400, "see:1234567 " + "see:nothing " * 50)]
+    found = _found(spark, rows)
+    for i in range(4):
+        assert found[100 + i] == "id:8:16,id:27:98"
+    # 'see:' stands before other things too often
+    assert found[400] == ""
+    totals = pii.context_totals(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("see:",), ("acct#",)], "pattern string"), spark.createDataFrame([], "pattern string"))
+    assert {r["pattern"]: r["total"] for r in totals.collect()} == {"see:": 55, "acct#": 28}
+
+
 def test_mixing(spark, docs, empty):
     rows = [(i, "w " * (5 + i % 7), "en" if i % 4 else "de", f"s{i % 3}") for i in range(3000)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
