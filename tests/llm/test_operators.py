@@ -61,6 +61,15 @@ def test_ngram_join(docs, empty):
     assert set(kept) == {1, 4, 5, None, 6, 8, 9, 10}
 
 
+def test_keep_one_counts_rows(spark):
+    own = " ".join(f"own{i}" for i in range(30))
+    alone = " ".join(f"alone{i}" for i in range(30))
+    rows = [(1, BASE, "a"), (1, BASE, "b"), (5, BASE + " again", "a"), (5, own, "a"), (None, BASE, "a"), (None, alone, "a"), (None, alone, "a"), (7, "", "a"), (7, "", "a"), (8, None, "a")]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    want = [(1, BASE, "a"), (5, own, "a"), (None, alone, "a"), (7, "", "a"), (7, "", "a"), (8, None, "a")]
+    assert Counter(tuple(r) for r in kept) == Counter(want)
+
+
 def test_quality(docs, empty):
     rows = {r["doc_id"]: r for r in quality.judge(docs).collect()}
     assert rows[1]["n_words"] == len(BASE.split()) and not rows[1]["base_failed"]
