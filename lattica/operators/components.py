@@ -1,16 +1,45 @@
-"""Connected components by alternating large-star and small-star steps.
-
-Each step is one aggregation and one equi-join over the arc table, so a hub of any degree is only
-a skewed join key (which adaptive execution splits), never a collected list.
-"""
+"""Connected components by local contraction and star steps, strong components by colours, condensation, levels."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.model import Graph
-from lattica.plans.loop import cut, fingerprint
+from lattica.plans.loop import cut, fingerprint, forget
+
+
+def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node each is connected with) of the edges a-b, by hooking roots and pointer jumping."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    label = np.arange(len(nodes))
+    while len(x):
+        x, y = label[x], label[y]
+        apart = x != y
+        x, y = x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label = up
+    return nodes, nodes[label]
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    held = [(np.asarray(x.column(0)), np.asarray(x.column(1))) for x in batches]
+    return tuple(np.concatenate([h[i] for h in held]) if held else np.zeros(0, np.int64) for i in (0, 1))
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a partition to (node, root)."""
+    node, root = local_roots(*_columns(batches))
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "root"])
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -27,27 +56,34 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.union(low.select("src", F.col("low").alias("dst"))).where("src != dst").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Edges, after each partition has contracted its own, that one task may finish alone; they are counted first.
+ONE_TASK = 1_000_000
+
+
+def connected_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(id, component) for every endpoint of ``edges(src, dst)``; component is the smallest id in it.
 
-    Arcs count in both directions; loops only name their node. Empty input gives no rows.
+    Arcs count in both directions; loops only name their node. Empty input gives no rows. Each partition
+    contracts its edges to (node, root) rows, one a node, so that a hub of any degree stands once in a
+    partition's result. Up to ``one_task`` such rows are finished in one partition; more take alternating large-star and
+    small-star steps, each an aggregation and an equi-join, until nothing changes.
     """
-    edges = edges.select("src", "dst").where("src is not null and dst is not null")
-    loops = edges.where("src = dst").select(F.col("src").alias("id"))
-    e = cut(edges.where("src != dst").distinct())
-    nodes = cut(e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).union(loops).distinct())
-    before = None
-    for _ in range(max_rounds):
-        e = cut(_small_star(_large_star(e)))
+    given = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src is not null and dst is not null")
+    near = cut(given.mapInArrow(_contract, "node long, root long"), "contracted")
+    if near.limit(one_task + 1).count() <= one_task:
+        out = cut(near.coalesce(1).mapInArrow(_contract, "node long, root long"), "components").select(F.col("node").alias("id"), F.col("root").alias("component"))
+        forget(near)
+        return out
+    nodes = cut(near.select(F.col("node").alias("id")).distinct(), "nodes")
+    e = near.where("node != root").select(F.col("node").alias("src"), F.col("root").alias("dst"))
+    before, last = None, near
+    while True:
+        e = cut(_small_star(_large_star(e)), "stars")
+        forget(last)
         after = fingerprint(e, "src", "dst")
         if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    return nodes.join(e.select(F.col("src").alias("id"), F.col("dst").alias("component")), "id", "left").select(
-        "id", F.coalesce("component", "id").alias("component")
-    )
+            return nodes.join(e.select(F.col("src").alias("id"), F.col("dst").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        before, last = after, e
 
 
 def symmetric_components(g: Graph) -> DataFrame:

@@ -1,25 +1,52 @@
-"""Support for iterative plans: shared-folder checkpoints and convergence fingerprints."""
+"""Support for iterative plans: tables in the shared folder, and convergence fingerprints."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ensure_checkpoint_dir(df: DataFrame) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; make one only where none is set."""
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattica-"))
-
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as spark.checkpoint.dir names it.
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that plans stay short and lost executors cost nothing."""
-    ensure_checkpoint_dir(df)
-    return df.checkpoint(eager=True)
+    Where the session names none, one is made if everything runs in this process (``local[n]``); on a cluster
+    that is an error: executors would write where nobody else looks.
+    """
+    jsc = spark.sparkContext._jsc.sc()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and jsc.getCheckpointDir().isDefined():
+        base = jsc.getCheckpointDir().get()
+    if base is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="lattica-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: plans stay short and lost executors cost nothing."""
+    spark = df.sparkSession
+    path = os.path.join(shared_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_to = path
+    return back
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete what ``cut`` wrote for these tables; nothing may read them any more."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path is not None:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fingerprint(df: DataFrame, *cols: str) -> tuple[int, int]:
