@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch: long texts make batches of a few MB, so that a Python worker's memory stays bounded.
+from lattica.plans.loop import cut as materialize
+from lattica.plans.loop import forget
+
+__all__ = ["arrow_map", "forget", "materialize", "semi_join_checked", "table"]
+
+#: Rows and bytes per Arrow batch: a Python worker's memory stays bounded whatever the texts' lengths.
 BATCH_ROWS = 2000
+BATCH_BYTES = 2 << 20
 #: A side of at most so many rows of a few fixed-width columns may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -21,34 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one is made only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
-    if base is None and jsc.getCheckpointDir().isDefined():
-        base = jsc.getCheckpointDir().get()
-    if base is None:
-        base = tempfile.mkdtemp(prefix="lattica-")
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _limit_batches(spark: SparkSession) -> None:
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow with one state a task: ``make()`` returns the function that each batch goes through.
 
-    The function may have a ``finish`` attribute, called once after the last batch.
+    The function may have a ``finish`` attribute, called once after the last batch. Spark reads the limits of
+    a batch from the session when the plan runs, so they are lowered there; lower ones of the caller stay.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    _limit_batches(df.sparkSession)
 
     def run(batches):
         step = make()
@@ -61,15 +52,6 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     return df.mapInArrow(run, schema)
 
 
-def null_safe_text(text: str = "text") -> F.Column:
-    return F.coalesce(F.col(text), F.lit(""))
-
-
-def unit_hash(*cols: F.Column, seed: int) -> F.Column:
-    """Deterministic number in [0, 1) from column values."""
-    return F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 11) / F.lit(float(1 << 53))
-
-
 def semi_join_checked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Keep ``rows`` whose key is in ``keys`` (distinct, written already).
 
