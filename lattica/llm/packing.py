@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from lattica.llm import _text
 from lattica.llm._common import arrow_map
 
-#: Entries of a task's word memory; beyond that it starts anew (only speed depends on it).
-MEMORY = 600_000
+#: Words of a task's memory; beyond that it starts anew (only speed depends on it).
+MEMORY = 200_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -45,31 +45,24 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        spec = json.loads(self.full.to_str())
-        steps = spec["pre_tokenizer"]["pretokenizers"]
+        self.model = self.full.model
+        steps = json.loads(self.full.pre_tokenizer.__getstate__())["pretokenizers"]
         self.split = regex.compile(steps[0]["pattern"]["Regex"])
-        bare = spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
-        self.bare = Tokenizer.from_str(json.dumps(bare)).model
         self.letters = _byte_letters()
-        self.words: dict[int, int] = {}
-        self.pieces: dict[str, list[int]] = {}
         self.reset()
         #: Texts of which NFC, lower-casing and white space are plain: printable ASCII and Latin-1 letters.
         self.plain = regex.compile("[!-;=-~À-ÿ]*+")
 
     def reset(self) -> None:
-        self.words.clear()
-        self.pieces.clear()
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 12, np.int64)
-        self.used = 0
+        #: Hashes of the known words, rising, and the place of each in ``ends``.
+        self.known = np.zeros(0, np.uint64)
+        self.place = np.zeros(0, np.int64)
+        #: The ids of word p are ids[ends[p]:ends[p + 1]].
+        self.ends = np.zeros(1, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
     def piece(self, text: str) -> list[int]:
-        ids = self.pieces.get(text)
-        if ids is None:
-            ids = [t.id for t in self.bare.tokenize(text.encode().decode("latin-1").translate(self.letters))]
-            self.pieces[text] = ids
-        return ids
+        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
 
     def ids_of(self, text: str) -> list[int]:
         """Ids of one word."""
@@ -81,26 +74,21 @@ class WordTokenizer:
             return [i for p in self.split.findall(text.lower()) for i in self.piece(p)]
         return self.full.encode(text, add_special_tokens=False).ids
 
-    def learn(self, hashes: list[int], texts: list[str]) -> None:
-        """Keep the ids of new words."""
+    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        """Keep the ids of new words, given by rising hash."""
         ids = [self.ids_of(t) for t in texts]
-        flat = [i for x in ids for i in x]
-        at, n, to = len(self.words), len(ids), self.used + len(flat)
-        if to > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(to, len(self.ids)), np.uint32)])
-        if at + n >= len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(max(at + n, len(self.ends)), np.int64)])
-        self.ids[self.used : to] = flat
-        self.ends[at + 1 : at + n + 1] = self.used + np.cumsum([len(x) for x in ids])
-        self.used = to
-        self.words.update(zip(hashes, range(at, at + n), strict=True))
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.place = np.insert(self.place, at, len(self.ends) - 1 + np.arange(len(ids)))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids])])
+        self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], np.uint32)])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, bounds of each) for UTF-8 bytes of whole documents.
 
         Each distinct word of the run is looked up once, by its 64-bit hash.
         """
-        if len(self.words) > MEMORY:
+        if len(self.known) > MEMORY:
             self.reset()
         w = _text.Words(data, offsets)
         if not len(w.hash):
@@ -109,24 +97,19 @@ class WordTokenizer:
         ordered = w.hash[order]
         first = np.ones(len(order), bool)
         np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
-        keys, place = ordered[first].tolist(), order[first]
-        known = self.words
-        index = [known.get(k, -1) for k in keys]
-        new = [i for i, x in enumerate(index) if x < 0]
-        if new:
-            raw, at = w.data.tobytes(), place[new]
-            spans = zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)
-            base = len(known)
-            self.learn([keys[i] for i in new], [raw[a:b].decode() for a, b in spans])
-            for j, i in enumerate(new):
-                index[i] = base + j
-        at = np.empty(len(order), np.int64)
-        at[order] = np.array(index, np.int64)[np.cumsum(first) - 1]
-        start = self.ends[at]
-        length = self.ends[at + 1] - start
+        keys, where = ordered[first], order[first]
+        at = np.searchsorted(self.known, keys)
+        new = np.flatnonzero(at == len(self.known)) if not len(self.known) else np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != keys)
+        if len(new):
+            spans = zip(w.start[where[new]].tolist(), w.end[where[new]].tolist(), strict=True)
+            self.learn(keys[new], [w.data[a:b].tobytes().decode() for a, b in spans])
+            at = np.searchsorted(self.known, keys)
+        word = np.empty(len(order), np.int64)
+        word[order] = self.place[at][np.cumsum(first) - 1]
+        start = self.ends[word]
+        length = self.ends[word + 1] - start
         to = np.concatenate([[0], np.cumsum(length)])
-        where = np.repeat(start - to[:-1], length) + np.arange(to[-1])
-        return self.ids[where], to[w.bounds]
+        return self.ids[np.repeat(start - to[:-1], length) + np.arange(to[-1])], to[w.bounds]
 
 
 def binary_lengths(n: int, max_len: int = 4096) -> list[int]:
@@ -135,12 +118,22 @@ def binary_lengths(n: int, max_len: int = 4096) -> list[int]:
     return [max_len] * (n // max_len) + [1 << k for k in range(max_len.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
+def _piece_table(counts: np.ndarray, max_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, length) of the pieces of documents of ``counts`` tokens."""
+    lengths = [binary_lengths(int(n), max_len) for n in counts]
+    doc = np.repeat(np.arange(len(counts)), [len(x) for x in lengths])
+    length = np.array([n for x in lengths for n in x], np.int64)
+    start = np.cumsum(length) - length - np.repeat(np.cumsum(counts) - counts, [len(x) for x in lengths])
+    return doc, start, length
+
+
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_len: int = 4096, with_ids: bool = True) -> DataFrame:
-    """One row a piece: doc_id, start, length, bucket, ids_crc32, doc_tokens, sequence_id, offset[, ids].
+    """One row a piece: doc_id, start, length, bucket, ids_crc32, doc_tokens[, ids], sequence_id, offset.
 
     Null and empty texts make one piece, the end token. Rows of one doc_id, or of none, are documents of
-    their own. ``sequence_id`` is unique and stays the same while the input's partitions do. Other columns
-    are ignored; an empty table gives no rows.
+    their own. Texts of any length are cut whole. Every partition of ``docs`` gives its pieces by bucket, longest
+    first, then doc_id and start; ``sequence_id`` follows that order, is unique and stays the same while the input's
+    partitions do. Other columns are ignored; an empty table gives no rows.
     """
     if max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
@@ -153,22 +146,16 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_len: int = 4
             names = batch.column("doc_id")
             for a, b in _text.runs(offsets, 2 * _text.RUN_BYTES):
                 ids, bounds = tok.encode(data, offsets[a : b + 1])
-                out = [[] for _ in range(5)]
-                pieces = []
-                for d in range(b - a):
-                    mine = np.append(ids[bounds[d] : bounds[d + 1]], np.uint32(end_id)).astype("<u4")
-                    raw, at = memoryview(mine).cast("B"), 0
-                    for n in binary_lengths(len(mine), max_len):
-                        for col, x in zip(out, (a + d, at, n, zlib.crc32(raw[4 * at : 4 * (at + n)]), len(mine)), strict=True):
-                            col.append(x)
-                        at += n
-                    pieces.append(mine)
-                row, start, length, crc, total = (np.array(x, np.int64) for x in out)
-                arrays = [names.take(pa.array(row)), pa.array(start), pa.array(length), pa.array(np.log2(length).astype(np.int32)), pa.array(crc), pa.array(total)]
+                ids = np.insert(ids, bounds[1:], np.uint32(end_id)).astype("<u4")
+                counts = np.diff(bounds) + 1
+                doc, start, length = _piece_table(counts, max_len)
+                ends = np.concatenate([[0], np.cumsum(length)])
+                raw = memoryview(ids).cast("B")
+                crc = np.fromiter((zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)), np.int64, len(doc))
+                arrays = [names.take(pa.array(a + doc)), pa.array(start), pa.array(length), pa.array(np.log2(length).astype(np.int32)), pa.array(crc), pa.array(counts[doc])]
                 cols = ["doc_id", "start", "length", "bucket", "ids_crc32", "doc_tokens"]
                 if with_ids:
-                    ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                    arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces).astype(np.int32))))
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32))))
                     cols.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, cols)
 
@@ -176,9 +163,5 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_len: int = 4
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, start long, length long, bucket int, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return arrow_map(given, make, schema).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-
-
-def write_buckets(packed: DataFrame, path: str) -> None:
-    """Write pieces by bucket: one folder a length, so that a reader draws batches of one shape."""
-    packed.write.partitionBy("bucket").parquet(path)
+    pieces = arrow_map(given, make, schema).sortWithinPartitions(F.col("bucket").desc(), "doc_id", "start", "ids_crc32")
+    return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
