@@ -16,52 +16,55 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def turn_prefixes(turns: DataFrame) -> DataFrame:
-    """(conv_id, place, total, h1, h2): after each turn the hash of all turns so far.
+def conversations(turns: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, items): each conversation's turns in the order that hashes and rendering share.
 
-    Turns stand in order of ``turn`` (nulls first), then of their content's hash. Null roles and texts
-    count as empty. Texts do not travel: only two 64-bit hashes a turn do.
+    Turns stand in order of ``turn`` (nulls first), then of role and text, so ties have one order and equal turns
+    none that matters. Null roles and texts count as empty.
     """
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    one, two = F.xxhash64(role, text, F.lit(1)), F.xxhash64(text, role, F.lit(2))
-    small = turns.select("conv_id", "turn", one.alias("a"), two.alias("b"))
-    order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "a", "b")
-    so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = small.withColumn("place", F.row_number().over(order)).withColumn("total", F.count(F.lit(1)).over(W.partitionBy("conv_id")))
+    item = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.sort_array(F.collect_list(item)).alias("items"))
+
+
+def turn_prefixes(convs: DataFrame) -> DataFrame:
+    """(conv_id, place, total, h1, h2): after each turn the hash of all turns so far. Only hashes leave the conversations."""
+    hashes = F.transform("items", lambda x: F.struct(F.xxhash64(x["role"], x["text"], F.lit(1)).alias("a"), F.xxhash64(x["text"], x["role"], F.lit(2)).alias("b")))
+    small = convs.select("conv_id", F.col("n_turns").alias("total"), F.posexplode(hashes).alias("pos", "x")).select("conv_id", "total", (F.col("pos") + 1).alias("place"), "x.a", "x.b")
+    so_far = W.partitionBy("conv_id").orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
 
     def rolled(c: str, seed: int):
         # sums of 40-bit parts cannot overflow in a conversation of under 8 million turns
         h = F.xxhash64(F.col(c), F.col("place"), F.lit(seed))
         return F.sum(F.shiftrightunsigned(h, 24)).over(so_far)
 
-    return placed.select("conv_id", "place", "total", rolled("a", 11).alias("h1"), rolled("b", 12).alias("h2"))
+    return small.select("conv_id", "place", "total", rolled("a", 11).alias("h1"), rolled("b", 12).alias("h2"))
 
 
-def maximal(turns: DataFrame) -> DataFrame:
+def maximal(convs: DataFrame) -> DataFrame:
     """(conv_id) of the conversations that are no snapshot of a longer one, equal ones once (smallest id; a null id only if alone)."""
-    prefixes = turn_prefixes(turns)
+    prefixes = turn_prefixes(convs)
     whole = prefixes.where("place = total").groupBy("place", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
     proper = prefixes.where("place < total").select("place", "h1", "h2").distinct()
     return whole.join(proper, ["place", "h1", "h2"], "left_anti").select("conv_id")
 
 
-def render(turns: DataFrame, keep: DataFrame) -> DataFrame:
+def render(convs: DataFrame, keep: DataFrame) -> DataFrame:
     """(conv_id, n_turns, rendered) of the conversations in ``keep``."""
-    kept = turns.join(keep.withColumnRenamed("conv_id", "_keep"), F.col("conv_id").eqNullSafe(F.col("_keep")), "left_semi")
-    line = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(CLOSE + "\n"))
-    item = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), line.alias("line"))
-    rows = kept.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.sort_array(F.collect_list(item)).alias("items"))
-    return rows.select("conv_id", "n_turns", F.array_join("items.line", "").alias("rendered"))
+    kept = convs.join(keep.withColumnRenamed("conv_id", "_keep"), F.col("conv_id").eqNullSafe(F.col("_keep")), "left_semi")
+    line = F.transform("items", lambda x: F.concat(F.lit(OPEN), x["role"], F.lit("\n"), x["text"], F.lit(CLOSE + "\n")))
+    return kept.select("conv_id", "n_turns", F.array_join(line, "").alias("rendered"))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """Collapse, then render: (conv_id, n_turns, rendered), one row for each maximal conversation.
 
-    Rows with one conv_id are one conversation (a null id is one, too). Other columns are ignored; an empty
-    table gives no rows.
+    Rows with one conv_id are one conversation (a null id is one, too); rows of one turn number stand by role and
+    text, repeated rows stay. A long text or conversation is one row of the result, whatever its size. Other columns
+    are ignored; an empty table gives no rows.
     """
     turns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return render(turns, maximal(turns))
+    convs = conversations(turns)
+    return render(convs, maximal(convs))
 
 
 SQL = f"""
