@@ -2,8 +2,10 @@
 
 A document's character-class histogram and its common-word histogram are compared with those of its
 language by Jensen-Shannon distance (base 2, so 0 to 1). References are counts over *all* documents of
-the language. Minimum lengths guard both comparisons: a short text has no stable histogram and is left
-to the base rules.
+the language. Common words stand in a histogram by classes of about equal share, from the commonest on; the
+last class is every other word. The limit of the word distance follows from the language's reference: a share of
+the distance that a text without any common word has, and what a text of so few words may stray by chance. Minimum lengths
+guard both comparisons: a shorter text has no stable histogram and is left to the base rules.
 """
 
 from __future__ import annotations
@@ -36,15 +38,21 @@ LEADS = (np.arange(256) & 0xC0) != 0x80
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds. Distances above the two limits reject; the guards say from which length on they count."""
+    """Thresholds. Distances above the two limits reject; the guards say from which length on they count.
+
+    The squared word distance may reach ``word_share`` squared of what a text without common words has, and
+    ``word_noise`` times the expected square of a random sample of the language that long.
+    """
 
     min_words: int = 20
     repeat_percent: int = 30
     max_char_distance: float = 0.25
-    max_word_distance: float = 0.50
+    word_share: float = 0.6
+    word_noise: float = 2.0
     guard_chars: int = 200
-    guard_words: int = 80
-    common_words: int = 64
+    guard_words: int = 30
+    common_words: int = 256
+    word_classes: int = 8
 
 
 def class_counts(w: _text.Words) -> np.ndarray:
@@ -106,7 +114,7 @@ def _lang_codes(batch: pa.RecordBatch) -> list[str | None]:
 
 
 def references(docs: DataFrame, rules: Rules) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """lang -> (class shares, bins of the common words, their shares and the rest's), from all documents."""
+    """lang -> (class shares, class of each word bin, shares of the word classes), from all documents."""
 
     def make():
         total: dict[str, np.ndarray] = {}
@@ -152,46 +160,52 @@ def references(docs: DataFrame, rules: Rules) -> dict[str, tuple[np.ndarray, np.
             chars[x["bin"]] = x["n"]
         top = rows[False]["top"]
         shares = np.array([x["n"] for x in top], float) / rows[False]["total"]
-        out[lang] = (chars / chars.sum(), np.array([x["bin"] - len(CLASSES) for x in top]), np.append(shares, max(0.0, 1 - shares.sum())))
+        # the k-th class of common words ends where k / word_classes of their share is reached
+        kind = np.minimum((np.cumsum(shares) - shares / 2) * rules.word_classes // max(shares.sum(), 1e-12), rules.word_classes - 1).astype(np.int64)
+        place = np.full(WORD_BINS, rules.word_classes, np.int64)
+        place[[x["bin"] - len(CLASSES) for x in top]] = kind
+        out[lang] = (chars / chars.sum(), place, np.append(np.bincount(kind, weights=shares, minlength=rules.word_classes), max(0.0, 1 - shares.sum())))
     return out
 
 
-def _distances(w: _text.Words, chars: np.ndarray, langs: list, refs: dict, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
-    """(character, word) distance of each document: to its language's reference, or to the nearest one."""
+def word_limit(shares: np.ndarray, n_words: np.ndarray, rules: Rules) -> np.ndarray:
+    """Largest word distance of a text of so many words, for a language of these class shares."""
+    none = np.zeros(len(shares))
+    none[-1] = 1.0
+    far = js_distance(none, shares)
+    chance = (np.count_nonzero(shares) - 1) / (8 * np.log(2) * np.maximum(n_words, 1))
+    return np.sqrt((rules.word_share * far) ** 2 + rules.word_noise * chance)
+
+
+def _distances(w: _text.Words, chars: np.ndarray, langs: list, refs: dict, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(character distance, word distance, its limit) of each document: against its language's reference, or the nearest one."""
     n = len(w.counts)
     total = np.maximum(chars.sum(axis=1, keepdims=True), 1)
     bins = (_folded(w).hash % U(WORD_BINS)).astype(np.int64)
     doc = np.repeat(np.arange(n), w.counts)
-    best = np.full((2, n), np.inf)
-    for name, (classes, common, shares) in refs.items():
+    best, limit = np.full((2, n), np.inf), np.ones(n)
+    for name, (classes, place, shares) in refs.items():
         mine = np.array([x == name or x not in refs for x in langs])
         if not mine.any():
             continue
-        place = np.full(WORD_BINS, len(common), np.int64)
-        place[common] = np.arange(len(common))
         use = mine[doc]
         hist = np.bincount(doc[use] * len(shares) + place[bins[use]], minlength=n * len(shares)).reshape(n, -1)
-        for i, d in enumerate((js_distance(chars / total, classes[None]), js_distance(hist / np.maximum(w.counts, 1)[:, None], shares[None]))):
-            best[i] = np.where(mine, np.minimum(best[i], d), best[i])
+        far = js_distance(hist / np.maximum(w.counts, 1)[:, None], shares[None])
+        nearer = mine & (far < best[1])
+        limit = np.where(nearer, word_limit(shares, w.counts, rules), limit)
+        best[1] = np.where(nearer, far, best[1])
+        best[0] = np.where(mine, np.minimum(best[0], js_distance(chars / total, classes[None])), best[0])
     best[~np.isfinite(best)] = 0.0
-    return best[0], best[1]
+    return best[0], best[1], limit
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+RESULT = ("doc_id", *COUNTS, "char_distance", "word_distance", "base_failed", "kept")
 SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", char_distance double, word_distance double, base_failed boolean, kept boolean"
 
 
-def judge(docs: DataFrame, rules: Rules = Rules(), refs: dict | None = None, keep_columns: bool = False) -> DataFrame:
-    """Counts, distances and verdict of every row of ``docs(doc_id, text, lang)``.
-
-    Null text counts as empty: no words, so ``base_failed``. A null or unknown lang takes the nearest
-    reference; where no language has a reference the distances are 0. Each row is judged on its own, so
-    ties, repeated rows and an empty table need no care. With ``keep_columns`` the documents' own columns
-    come back too, apart from those named as a result column.
-    """
-    refs = references(docs, rules) if refs is None else refs
-    extra = [c for c in docs.columns if c not in {"doc_id", *COUNTS, "char_distance", "word_distance", "base_failed", "kept"}] if keep_columns else []
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"), F.col("lang").cast("string").alias("_lang"), *extra)
+def _judged(given: DataFrame, rules: Rules, refs: dict) -> DataFrame:
+    """SCHEMA of each row of ``given(doc_id, _text, _lang)``, with its ``_row`` if there is one."""
 
     def make():
         def step(batch):
@@ -204,25 +218,44 @@ def judge(docs: DataFrame, rules: Rules = Rules(), refs: dict | None = None, kee
                 chars = class_counts(w)
                 far = _distances(w, chars, langs[a:b], refs, rules)
                 parts.append((w.counts, _text.sums_by_bounds(solid, w.offsets), chars[:, 5], duplicate_lines(w), repeated_words(w), *far, chars.sum(axis=1)))
-            cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(8)]
+            cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(9)]
             n_words, repeat = cols[0].astype(np.int64), cols[4].astype(np.int64)
             failed = (n_words < rules.min_words) | (100 * repeat > rules.repeat_percent * n_words)
-            odd = (cols[5] > rules.max_char_distance) & (cols[7] >= rules.guard_chars)
-            odd |= (cols[6] > rules.max_word_distance) & (n_words >= rules.guard_words)
+            odd = (cols[5] > rules.max_char_distance) & (cols[8] >= rules.guard_chars)
+            odd |= (cols[6] > cols[7]) & (n_words >= rules.guard_words)
             arrays = [batch.column("doc_id"), *(pa.array(c.astype(np.int64)) for c in cols[:5]), pa.array(cols[5].astype(float)), pa.array(cols[6].astype(float)), pa.array(failed), pa.array(~failed & ~odd)]
-            names = ["doc_id", *COUNTS, "char_distance", "word_distance", "base_failed", "kept"]
-            yield pa.RecordBatch.from_arrays(arrays + [batch.column(c) for c in extra], names + extra)
+            rest = [c for c in batch.schema.names if c == "_row"]
+            yield pa.RecordBatch.from_arrays(arrays + [batch.column(c) for c in rest], [*RESULT, *rest])
 
         return step
 
     from pyspark.sql.types import StructType
 
     schema = StructType.fromDDL(SCHEMA)
-    for c in extra:
-        schema = schema.add(docs.schema[c])
+    if "_row" in given.columns:
+        schema = schema.add(given.schema["_row"])
     return arrow_map(given, make, schema)
 
 
+def _given(docs: DataFrame) -> list:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"), F.col("lang").cast("string").alias("_lang")]
+
+
+def judge(docs: DataFrame, rules: Rules = Rules(), refs: dict | None = None) -> DataFrame:
+    """Counts, distances and verdict of every row of ``docs(doc_id, text, lang)``.
+
+    Null text counts as empty: no words, so ``base_failed``. A null or unknown lang takes the nearest
+    reference; where no language has a reference the distances are 0. Each row is judged on its own, so
+    ties, repeated rows and an empty table need no care; equal shares among the common words go by bin. Long texts are
+    judged whole, in runs of bounded bytes but for a single longer text. Other columns are ignored.
+    """
+    return _judged(docs.select(*_given(docs)), rules, references(docs, rules) if refs is None else refs)
+
+
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    return judge(docs, rules, keep_columns=True).where("kept").select(*docs.columns)
+    """The rows of ``docs`` that the rules keep, with the columns of ``docs`` as they are, whatever their names.
+
+    Nulls, long and empty texts, repeated rows and an empty table are as for ``judge``.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return _judged(docs.select(*_given(docs), row), rules, references(docs, rules)).where("kept").select("_row.*")
