@@ -9,6 +9,7 @@ sample, whatever the partitions and retries.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -55,22 +56,22 @@ def target_table(cells: DataFrame, margin: str, targets: Mapping[str, float] | f
         left = max(0.0, 1.0 - sum(v for _, v in named))
         given = F.create_map(*[F.lit(x) for pair in named for x in pair])[F.col(margin)] if named else F.lit(None).cast("double")
         rest = own.withColumn("named", given)
-        free = F.sum(F.when(F.col("named").isNull(), F.col("own"))).over(W.partitionBy(F.lit(1)))
-        raw = rest.select(margin, F.coalesce("named", F.try_divide(F.lit(left) * F.col("own"), free)).alias("share"))
+        free = rest.where("named is null").agg(F.sum("own")).first()[0]
+        raw = rest.select(margin, F.coalesce("named", F.try_divide(F.lit(left) * F.col("own"), F.lit(float(free or 0)))).alias("share"))
     else:
         raw = own.select(margin, F.pow("own", F.lit(float(targets))).alias("share"))
-    total = raw.agg(F.sum("share").alias("total"))
-    return raw.join(F.broadcast(total)).select(margin, F.coalesce(F.try_divide("share", "total"), F.lit(0.0)).alias(f"{margin}_share"))
+    total = raw.agg(F.sum("share")).first()[0]
+    return raw.select(margin, F.coalesce(F.try_divide("share", F.lit(float(total or 0))), F.lit(0.0)).alias(f"{margin}_share"))
 
 
 def rake(cells: DataFrame, margins: list[str], tolerance: float = 1e-6, max_rounds: int = 60, small: bool = False) -> DataFrame:
     """The cells with a ``weight`` (share of all tokens) whose sums over each margin meet ``<margin>_share``.
 
     Cells without tokens get none. Where targets contradict each other the last rake's margin holds and the
-    others are as near as the rounds brought them.
+    others are as near as the rounds brought them; a warning says so.
     """
-    all_tokens = cells.agg(F.sum("tokens").alias("all_tokens"))
-    cells = cells.join(F.broadcast(all_tokens)).withColumn("weight", F.coalesce(F.try_divide("tokens", "all_tokens"), F.lit(0.0))).drop("all_tokens")
+    all_tokens = cells.agg(F.sum("tokens")).first()[0]
+    cells = cells.withColumn("weight", F.coalesce(F.try_divide("tokens", F.lit(float(all_tokens or 0))), F.lit(0.0)))
     for done in range(0, max_rounds, ROUNDS_PER_CUT):
         for _ in range(ROUNDS_PER_CUT):
             for m in margins:
@@ -83,28 +84,30 @@ def rake(cells: DataFrame, margins: list[str], tolerance: float = 1e-6, max_roun
             error = cells.groupBy(m).agg(F.abs(F.sum("weight") - F.first(f"{m}_share")).alias("e")).agg(F.max("e")).first()[0]
             worst = max(worst, error or 0.0)
         if worst <= tolerance:
-            break
+            return cells
+    warnings.warn(f"margins are met to {worst:.3g} only after {max_rounds} rounds", stacklevel=2)
     return cells
 
 
 def _calibrated(cells: DataFrame, budget: float) -> DataFrame:
     """With ``prob``: min(1, c * weight / tokens), c so that expected tokens meet the budget (all tokens at most).
 
-    Cells are taken by falling weight per token: the first ones are full; the factor for the rest follows
-    from running sums, so no search is needed.
+    The factor rises: cells that it fills count whole, and it is set anew by what is left for the others, until no
+    further cell fills. Every step is one sum over the cells, wherever they lie.
     """
-    ratio = F.coalesce(F.try_divide("weight", "tokens"), F.lit(0.0))
-    order = W.partitionBy(F.lit(1)).orderBy(F.col("ratio").desc(), "source", "lang", "topic")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    cells = cells.withColumn("ratio", ratio)
-    cells = cells.withColumns({"full": F.coalesce(F.sum("tokens").over(before), F.lit(0)), "above": F.coalesce(F.sum("weight").over(before), F.lit(0.0)), "all_weight": F.sum("weight").over(W.partitionBy(F.lit(1)))})
-    factor = F.try_divide(F.lit(float(budget)) - F.col("full"), F.col("all_weight") - F.col("above"))
-    # the first cell whose own factor leaves it below 1 sets the factor of all that follow
-    fits = (F.col("all_weight") - F.col("above") > 1e-12) & (factor * F.col("ratio") < 1)
-    cells = cells.withColumn("c", F.when(fits, factor))
-    c = F.first("c", ignorenulls=True).over(W.partitionBy(F.lit(1)).orderBy(F.col("ratio").desc(), "source", "lang", "topic").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    prob = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(c * F.col("ratio"), F.when(F.col("ratio") > 0, 1.0).otherwise(0.0))))
-    return cells.withColumn("prob", prob).drop("ratio", "full", "above", "all_weight", "c")
+    weighed = F.col("weight") > 0
+    c = 0.0
+    while True:
+        full = F.lit(c) * F.col("weight") >= F.col("tokens")
+        sums = cells.where(weighed).agg(F.sum(F.when(full, F.col("tokens"))).alias("t"), F.sum(F.when(~full, F.col("weight"))).alias("w")).first()
+        if not sums["w"] or budget <= (sums["t"] or 0):
+            break
+        new = (budget - (sums["t"] or 0)) / sums["w"]
+        if new <= c * (1 + 1e-12):
+            break
+        c = new
+    prob = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(c) * F.col("weight"), F.col("tokens")), F.lit(0.0)))
+    return cells.withColumn("prob", prob)
 
 
 def mixture(docs: DataFrame, targets: Targets, topic: Column | None = None, budget_share: float = 0.5, tokens: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -120,7 +123,8 @@ def mixture(docs: DataFrame, targets: Targets, topic: Column | None = None, budg
     cells = materialize(cells, "cells")
     small = cells.count() <= SMALL_CELLS
     for m in margins:
-        cells = cells.join(F.broadcast(target_table(cells, m, targets.get(m, {}))), m, "left").fillna(0.0, [f"{m}_share"])
+        shares = target_table(cells, m, targets.get(m, {}))  # at most a row a cell
+        cells = cells.join(F.broadcast(shares) if small else shares, m, "left").fillna(0.0, [f"{m}_share"])
     cells = rake(cells.coalesce(1) if small else cells, margins, small=small)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     return rows, _calibrated(cells, budget_share * total)
@@ -131,7 +135,8 @@ def sample(docs: DataFrame, targets: Targets, topic: Column | None = None, budge
 
     ``weight`` is the raked share of the document's cell per token, ``prob`` the probability it was drawn
     with; ``uniform < prob`` holds. Null margins are a value of their own. Documents without tokens have
-    probability 0. Rows that repeat a doc_id are drawn together. An empty table gives no rows.
+    probability 0. Rows that repeat a doc_id are drawn together, as are ties of the hash. Long texts count by all
+    their words. Other columns are ignored. An empty table gives no rows.
     """
     rows, cells = mixture(docs, targets, topic, budget_share, tokens)
     keys = ["source", "lang", "topic"]
@@ -144,12 +149,18 @@ def sample(docs: DataFrame, targets: Targets, topic: Column | None = None, budge
 
 
 def keep_sampled(docs: DataFrame, targets: Targets, topic: Column | None = None, budget_share: float = 0.5, seed: int = 1, tokens: Column | None = None) -> DataFrame:
-    """The rows of ``docs`` that are drawn, with their own columns: the text is not shuffled."""
+    """The rows of ``docs`` that are drawn, with their own columns, whatever their names: the text is not shuffled.
+
+    Nulls, empty and long texts, repeated rows, ties of the draw and empty tables are as for ``sample``.
+    """
     topic = topic if topic is not None else topic_of()
     _, cells = mixture(docs, targets, topic, budget_share, tokens)
-    rates = materialize(cells.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("prob").alias("_p")), "rates")
+    rates = materialize(cells.select("source", "lang", "topic", "prob"), "rates")
     rates = F.broadcast(rates) if rates.limit(SMALL_CELLS + 1).count() <= SMALL_CELLS else rates
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
     uniform = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    match = (text("source") == F.col("_s")) & (text("lang") == F.col("_l")) & (F.coalesce(topic.cast("string"), F.lit(NONE)) == F.col("_t"))
-    return docs.join(rates, match).where(uniform < F.col("_p")).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text("source").alias("source"), text("lang").alias("lang"),
+        F.coalesce(topic.cast("string"), F.lit(NONE)).alias("topic"), uniform.alias("uniform"),
+    )
+    return rows.join(rates, ["source", "lang", "topic"]).where("uniform < prob").select("row.*")
