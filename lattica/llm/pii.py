@@ -1,11 +1,13 @@
 """Personal data by base patterns and bootstrapped contextual extraction, in DataFrame operations only.
 
-Base spans come from four fixed patterns with checks. They seed the bootstrap: their left contexts (one
-word, two words) are lexical patterns, and every identifier-shaped run of a token in the corpus is a candidate
-instance; what precedes it in the token belongs to its left context. Pattern and instance scores are computed in turn over the pattern-instance graph: a pattern is
-worth the share of its occurrences, counted over the whole corpus, that extract scored instances; an
+Base spans come from four fixed patterns with checks. They and runs of a secret's shape (SECRET: long hexadecimal
+strings) seed the bootstrap: their left contexts (one, two and three words) are lexical patterns. Candidate
+instances are identifier-shaped runs of a token (enough digits), and, whatever they are made of, runs that stand
+where a value stands: after a quotation mark, or after ``=`` or ``:``. What precedes a run in its own token
+belongs to its left context. Pattern and instance scores are computed in turn over the pattern-instance graph: a
+pattern is worth the share of its occurrences, counted over the whole corpus, that extract scored instances; an
 instance is worth the noisy-or of its patterns. Patterns of enough distinct instances and confidence then
-mark candidates that no base pattern knows.
+mark what no base pattern knows. A seed by shape alone is no finding: it is one where a confident pattern extracts it.
 
 Matches are found in one pass a kind: they are wrapped in a sentinel, split there, and placed by the
 lengths of what stands before. Possessive quantifiers keep matching linear and free of recursion.
@@ -31,6 +33,9 @@ PATTERNS = {
 #: What a text must hold for a kind to be looked for at all.
 HINT = {EMAIL: "@", IP: ".", CARD: None, PHONE: "+"}
 FOUND = "id"
+#: Seeds of this kind are known by shape: hexadecimal runs of 32 characters or more with a digit and a letter.
+SEED = "secret"
+SECRET = "^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,}$"
 
 SENTINEL, STAND_IN = "\ue000", "\ue001"
 SPACE = r"\x20\x09-\x0D"
@@ -39,8 +44,14 @@ BODY = "A-Za-z0-9@._/+-"
 #: The start of a run that stands inside a token, up to its first letter or digit.
 INNER = rf"(?:(?<=[^{SPACE}{BODY}])[@._/+-]*+|(?<![{BODY}])[@._/+-]++)[A-Za-z0-9]"
 BLOCK = 512
-#: Characters before a span that its left context is read from.
-LEFT = 80
+#: Characters before a span that its left context is read from; words that do not lie in them whole are no context.
+LEFT = 256
+#: Words of the longest context.
+WORDS = 3
+#: Mentions of a text up to which their contexts are counted in it; in texts of more, contexts are not ruled out early.
+COUNTED_MENTIONS = 50
+#: Patterns that may stand in a plan as literals; they are counted first.
+LITERAL_PATTERNS = 10_000
 
 
 @dataclass(frozen=True)
@@ -51,8 +62,9 @@ class Bootstrap:
     min_confidence: float = 0.5
     #: Score from which an instance counts as found.
     min_score: float = 0.5
-    #: Digits of a candidate token.
+    #: Digits of a candidate run; characters of one that stands where a value stands.
     min_digits: int = 4
+    min_value_chars: int = 4
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -125,30 +137,34 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def _before(start: Column) -> Column:
-    return F.substring(F.col("_t"), F.greatest(start - LEFT, F.lit(0)) + 1, F.least(start, F.lit(LEFT)))
+    near = F.substring(F.col("_t"), F.greatest(start - LEFT, F.lit(0)) + 1, F.least(start, F.lit(LEFT)))
+    # a word that begins before the window is left out; so is one that may
+    return F.when(start > LEFT, F.regexp_replace(near, f"^[^{SPACE}]+", "")).otherwise(near)
 
 
 def _context(before: Column) -> Column:
-    """The last two words before a place, what stands before it in its own token being one of them."""
+    """The last words before a place, what stands before it in its own token being one of them."""
     # the pattern is a Python literal: in SQL text Spark would take its backslashes for escapes
-    words = F.regexp_extract(before, f"([^{SPACE}]+[{SPACE}]+)?[^{SPACE}]+[{SPACE}]*$", 0)
+    words = F.regexp_extract(before, f"(?:[^{SPACE}]+[{SPACE}]+){{0,{WORDS - 1}}}[^{SPACE}]+[{SPACE}]*$", 0)
     return F.regexp_replace(F.lower(words), "[0-9]", "0")
 
 
 def mentions(rows: DataFrame, boot: Bootstrap) -> DataFrame:
-    """Adds ``mentions``: array<struct<start, end, kind, m, left, loose>> of base spans and candidate runs."""
-    run = rf"(?<![{BODY}])(?=(?:[A-Za-z@._/+-]*+[0-9]){{{max(boot.min_digits, 1)}}})[{BODY}]++"
-    rows = rows.withColumn("_tok", F.when(F.col("_t").rlike("[0-9]"), located(F.col("_t"), run)).otherwise(F.array(F.lit(""))))
+    """Adds ``mentions``: array<struct<start, end, kind, m, left, loose>> of base spans, seeds by shape and candidate runs."""
+    digits = rf"(?=(?:[A-Za-z@._/+-]*+[0-9]){{{max(boot.min_digits, 1)}}})"
+    value = rf"(?<=[\"'=:])|(?<=[=:][{SPACE}])"
+    run = rf"(?<![{BODY}])(?:{digits}|(?:{value})(?=[{BODY}]{{{max(boot.min_value_chars, 1)}}}))[{BODY}]++"
+    rows = rows.withColumn("_tok", F.when(F.col("_t").rlike("[0-9\"'=:]"), located(F.col("_t"), run)).otherwise(F.array(F.lit(""))))
     rows = rows.withColumn("_tok", placed("_tok"))
     base = F.concat(*[F.transform(k, _labelled(k, True)) for k in PATTERNS])
     rows = rows.withColumn("_base", base)
     cut = F.expr(
         "transform(_tok, x -> named_struct('start', x.start + char_length(regexp_extract(x.m, '^[@._/+-]*', 0)), 'm', regexp_replace(x.m, '^[@._/+-]+|(?<![@._/+-])[@._/+-]+$', '')))"
     )
-    rows = rows.withColumn("_cand", cut)
+    rows = rows.withColumn("_cand", F.filter(cut, lambda x: x["m"] != ""))
     free = F.expr(
         "transform(filter(_cand, x -> not exists(_base, b -> b.start < x.start + char_length(x.m) and x.start < b.end)), "
-        "x -> named_struct('start', x.start, 'end', x.start + char_length(x.m), 'kind', cast(null as string), 'm', x.m))"
+        f"x -> named_struct('start', x.start, 'end', x.start + char_length(x.m), 'kind', if(x.m rlike '{SECRET}', '{SEED}', cast(null as string)), 'm', x.m))"
     )
     rows = rows.withColumn("_all", F.concat("_base", free))
 
@@ -158,36 +174,86 @@ def mentions(rows: DataFrame, boot: Bootstrap) -> DataFrame:
         loose = before.rlike(f"[^{SPACE}]$") & ~F.concat(before, F.substring(F.col("_t"), x["start"] + 1, F.lit(1))).rlike(f"{INNER}$")
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["m"].alias("m"), _context(before).alias("left"), loose.alias("loose"))
 
-    return rows.withColumn("mentions", F.transform("_all", with_left)).drop("_tok", "_cand", "_base", "_all")
+    rows = rows.withColumn("mentions", F.transform("_all", with_left))
+    rows = rows.withColumn("_w", F.when(F.size("mentions").between(1, COUNTED_MENTIONS), _words(_fold(F.col("_t")))))
+    return rows.withColumn("mentions", _with_counts()).drop("_tok", "_cand", "_base", "_all", "_w")
+
+
+def _words(c: Column) -> Column:
+    return F.filter(F.split(c, f"[{SPACE}]+"), lambda w: w != "")
+
+
+def _fold(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), "[0-9]", "0")
+
+
+def _with_counts() -> Column:
+    """The mentions with ``here``: how often the context of one, two, ... words stands among the words _w of the text."""
+    w = F.col("_w")
+
+    def count(words: Column, k: int) -> Column:
+        def same(y: Column, i: Column) -> Column:
+            own = F.try_element_at(words, F.lit(-1))
+            ok = F.startswith(y, own) & ((y == own) | F.substring(y, F.lit(1), F.length(own) + 1).rlike(f"{INNER}$"))
+            for j in range(1, k):
+                ok = ok & (F.get(w, i - j) == F.try_element_at(words, F.lit(-1 - j)))
+            return F.when(ok, 1)
+
+        return F.size(F.array_compact(F.transform(w, same)))
+
+    def counted(x: Column) -> Column:
+        words = _words(x["left"])
+        here = F.when(w.isNotNull(), F.array(*[count(words, k) for k in range(1, WORDS + 1)])).otherwise(F.array(*[F.lit(0)] * WORDS))
+        return F.struct(*[x[c].alias(c) for c in ("start", "end", "kind", "m", "left", "loose")], here.alias("here"))
+
+    return F.transform("mentions", counted)
 
 
 def _patterns(left: Column) -> Column:
-    """Lexical patterns of a left context: its last word, and its last two."""
+    """Lexical patterns of a left context: its last word, its last two, and so on."""
     words = F.filter(F.split(left, f"[{SPACE}]+"), lambda w: w != "")
-    return F.array_compact(F.array(F.when(F.size(words) >= 1, F.element_at(words, -1)), F.when(F.size(words) >= 2, F.concat_ws(" ", F.element_at(words, -2), F.element_at(words, -1)))))
+    return F.array_compact(F.array(*[F.when(F.size(words) >= k, F.concat_ws(" ", *[F.try_element_at(words, F.lit(-i)) for i in range(k, 0, -1)])) for k in range(1, WORDS + 1)]))
 
 
 def context_totals(docs: DataFrame, patterns: DataFrame, loose: DataFrame) -> DataFrame:
     """(pattern, total): how often each context stands in the corpus, over all documents.
 
-    Contexts are words, two words, and what stands in a token before a run of it; ``loose(pattern)`` are
-    those of mentions that start elsewhere in a token.
+    Contexts are runs of up to WORDS words, and what stands in a token before a run of it with the words before
+    that token; ``loose(pattern)`` are those of mentions that start elsewhere in a token.
     """
-    fold = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
-    split = lambda c: F.filter(F.split(c, f"[{SPACE}]+"), lambda w: w != "")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(split(fold(text)).alias("w"))
-    pairs = F.expr("if(size(w) > 1, zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> concat(a, ' ', b)), cast(array() as array<string>))")
-    rows = rows.select(F.explode(F.concat("w", pairs)).alias("pattern"))
-    # few tokens hold an inner run: they are taken out with the word before them, and only they are cut up
+    words = docs.select(_words(_fold(text)).alias("w")).where(F.size("w") > 0)
+    runs = lambda i: [f"if({i} >= {k - 1}, concat_ws(' ', {', '.join(f'w[{i} - {j}]' for j in range(k - 1, -1, -1))}), null)" for k in range(1, WORDS + 1)]
+    few_patterns = patterns.limit(LITERAL_PATTERNS + 1).count() <= LITERAL_PATTERNS
+    if few_patterns:
+        # places are looked up by the patterns' last words, then by the patterns, and only what is one leaves the text
+        known = [r[0] for r in patterns.collect()]
+        last = sorted({p.rsplit(" ", 1)[-1] for p in known})
+        at = F.filter(F.transform("w", lambda x, i: F.when(x.isin(last), i)), lambda i: i.isNotNull())
+        rows = words.select("w", at.alias("at")).where(F.size("at") > 0).select(F.flatten(F.expr(f"transform(at, i -> array({', '.join(runs('i'))}))")).alias("p"))
+        rows = rows.select(F.explode(F.filter("p", lambda x: x.isin(known))).alias("pattern"))
+    else:
+        rows = words.select(F.explode(F.array_compact(F.flatten(F.expr(f"transform(w, (x, i) -> array({', '.join(runs('i'))}))")))).alias("pattern"))
+    # few tokens hold an inner run: they are taken out with the words before them, and only they are cut up
     clean = F.when(F.contains(text, F.lit(SENTINEL)), F.translate(text, SENTINEL, STAND_IN)).otherwise(text)
-    few = docs.select(split(clean).alias("w")).where(F.size("w") > 0)
-    few = few.select(F.explode(F.filter(F.zip_with(F.expr("concat(array(''), slice(w, 1, size(w) - 1))"), "w", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["b"].rlike(INNER))).alias("x")).select("x.a", "x.b")
-    few = few.withColumn("_in", located(F.col("b"), INNER)).withColumn("_in", placed("_in")).select("a", "b", F.explode("_in.end").alias("end"))
-    few = few.select(fold("a").alias("a"), fold(F.expr(f"substring(b, greatest(end - 1 - {LEFT}, 0) + 1, least(end - 1, {LEFT}))")).alias("b"))
-    few = few.select(F.explode(F.expr("if(a = '', array(b), array(b, concat(a, ' ', b)))")).alias("pattern"))
+    few = docs.select(_words(clean).alias("w")).where(F.size("w") > 0)
+    places = F.filter(F.transform("w", lambda x, i: F.when(x.rlike(INNER), i)), lambda i: i.isNotNull())
+    before = [f"if(i >= {j}, w[i - {j}], null)" for j in range(WORDS - 1, 0, -1)]
+    few = few.select("w", places.alias("at")).where(F.size("at") > 0).select(F.explode(F.expr(f"transform(at, i -> named_struct('a', array_compact(array({', '.join(before)})), 'b', w[i]))")).alias("x")).select("x.a", "x.b")
+    if few_patterns:
+        # only prefixes that some pattern ends with are looked at
+        ends = F.expr(f"sequence(1, greatest(1, least(char_length(b) - 1, {min(LEFT, max(map(len, last), default=1))})))")
+        prefix = lambda e: F.substring(F.col("b"), F.lit(1), e)
+        found = F.filter(ends, lambda e: _fold(prefix(e)).isin(last) & prefix(e + 1).rlike(f"{INNER}$"))
+        few = few.select("a", "b", found.alias("ends")).where(F.size("ends") > 0).select(F.transform("a", _fold).alias("a"), F.transform("ends", lambda e: _fold(prefix(e))).alias("bs"))
+        contexts = F.flatten(F.transform("bs", lambda b: _patterns(F.concat_ws(" ", F.col("a"), b))))
+        few = few.select(F.explode(F.filter(contexts, lambda x: x.isin(known))).alias("pattern"))
+    else:
+        few = few.withColumn("_in", located(F.col("b"), INNER)).withColumn("_in", placed("_in")).select("a", "b", F.explode("_in.end").alias("end")).where(F.col("end") - 1 <= LEFT)
+        few = few.select(F.transform("a", _fold).alias("a"), _fold(F.expr("substring(b, 1, end - 1)")).alias("b"))
+        few = few.select(F.explode(_patterns(F.concat_ws(" ", "a", "b"))).alias("pattern"))
     rows = rows.union(few).union(loose)
-    if patterns.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if few_patterns or patterns.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(patterns), "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
     return rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).join(patterns, "pattern", "left_semi")
 
@@ -199,12 +265,15 @@ def bootstrap(docs: DataFrame, found: DataFrame, boot: Bootstrap) -> DataFrame:
     """
     none = found.select("doc_id", "key", F.expr("cast(array() as array<struct<start:int,end:int,kind:string,m:string>>)").alias("extra")).limit(0)
     at = found.where(F.size("mentions") > 0).select("doc_id", "key", F.explode("mentions").alias("x")).select("doc_id", "key", "x.*")
-    edges = at.withColumn("pattern", F.explode(_patterns(F.col("left")))).groupBy("pattern", F.xxhash64("m").alias("inst")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind")
-    )
+    near = at.withColumn("x", F.explode(F.arrays_zip(_patterns(F.col("left")).alias("pattern"), F.col("here").alias("here")))).withColumns({"pattern": F.col("x.pattern"), "here": F.col("x.here")}).where("pattern is not null")
+    # hits are at most the mentions; occurrences at least those in the texts that mention something there
+    bound = near.groupBy("pattern", "doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.max("here").alias("here")).groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("here").alias("here"))
+    bound = bound.where(F.col("n") >= boot.min_confidence * F.col("here")).select("pattern")
+    edges = near.groupBy("pattern", F.xxhash64("m").alias("inst")).agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind")).join(bound, "pattern")
     edges = materialize(edges, "edges")
-    support = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"), F.count("kind").alias("seeds"))
-    useful = support.where((F.col("instances") >= boot.min_support) & (F.col("instances") > F.col("seeds"))).select("pattern")
+    open_ = F.col("kind").isNull() | (F.col("kind") == SEED)  # no base span
+    support = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"), F.sum(open_.cast("long")).alias("open"))
+    useful = support.where((F.col("instances") >= boot.min_support) & (F.col("open") > 0)).select("pattern")
     useful = materialize(useful, "contexts")
     if not useful.take(1):
         return none
@@ -224,8 +293,8 @@ def bootstrap(docs: DataFrame, found: DataFrame, boot: Bootstrap) -> DataFrame:
         doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence")))))
         fresh = edges.where("kind is null").join(patterns, "pattern").groupBy("inst").agg((1 - doubt).alias("score"))
         scores = materialize(seeds.union(fresh.join(seeds, "inst", "left_anti")), "scores")
-    good = scores.join(seeds, "inst", "left_anti").where(F.col("score") >= boot.min_score).select("inst")
-    hits = at.where("kind is null").withColumn("pattern", F.explode(_patterns(F.col("left")))).withColumn("inst", F.xxhash64("m"))
+    good = scores.where(F.col("score") >= boot.min_score).select("inst")
+    hits = at.where(open_).withColumn("pattern", F.explode(_patterns(F.col("left")))).withColumn("inst", F.xxhash64("m"))
     hits = hits.join(patterns.select("pattern"), "pattern", "left_semi").join(good, "inst", "left_semi")
     span = F.struct("start", "end", F.lit(FOUND).alias("kind"), "m")
     return materialize(hits.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(span)).alias("extra")), "extra")
@@ -240,7 +309,7 @@ def _written(spans: str, kind: str) -> Column:
 
 
 def find(docs: DataFrame, boot: Bootstrap = Bootstrap()) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and the span arrays, for every row of ``docs(doc_id, text)``.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id (spans the bootstrap found) and the span arrays, for every row of ``docs(doc_id, text)``.
 
     Null text is empty and holds nothing. Equal texts under one doc_id get equal spans, so repeated rows
     need no care; a null doc_id is a value like any other. Other columns are ignored; an empty table gives
@@ -258,31 +327,34 @@ def find(docs: DataFrame, boot: Bootstrap = Bootstrap()) -> DataFrame:
     base = [_written(k, k) for k in PATTERNS]
     return rows.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS], F.sha2(_joined(base), 256).alias("base_sha256"),
-        _joined([*base, _written("extra", FOUND)]).alias("spans"), "key", *PATTERNS, "extra",
+        _joined([*base, _written("extra", FOUND)]).alias("spans"), F.size("extra").cast("long").alias("n_id"), "key", *PATTERNS, "extra",
     )
 
 
 def redact(docs: DataFrame, boot: Bootstrap = Bootstrap()) -> DataFrame:
     """``docs`` with every span, base or found, replaced by its kind in brackets; overlapping spans go as one.
 
-    ``n_chars``, where there is one, follows the new text. Null texts stay null.
+    ``n_chars``, where there is one, follows the new text. Null texts stay null. Rows of one doc_id are told apart by
+    their texts; the other columns stay as they are, whatever their names; an empty table gives no rows.
     """
     spans = find(docs, boot)
     marks = [F.transform(k, _labelled(k.upper(), False)) for k in PATTERNS]
     marks.append(F.transform("extra", _labelled(FOUND.upper(), False)))
-    spans = spans.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.array_sort(F.concat(*marks)).alias("_marks")).where(F.size("_marks") > 0)
-    spans = materialize(spans.dropDuplicates(["_d", "_k"]), "marks")
-    side = F.broadcast(spans) if spans.limit(BROADCAST_ROWS // 10 + 1).count() <= BROADCAST_ROWS // 10 else spans
+    spans = spans.select("doc_id", "key", F.array_sort(F.concat(*marks)).alias("marks")).where(F.size("marks") > 0)
+    spans = materialize(spans.dropDuplicates(["doc_id", "key"]), "marks").withColumnRenamed("doc_id", "of")
+    # at most so many rows of a few spans each: broadcast only where their bytes are bounded, too
+    few = spans.limit(BROADCAST_ROWS // 10 + 1).agg(F.count(F.lit(1)), F.max(F.size("marks"))).first()
+    side = F.broadcast(spans) if few[0] <= BROADCAST_ROWS // 10 and (few[1] or 0) <= 100 else spans
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     clean = F.when(F.contains(text, F.lit(SENTINEL)), F.translate(text, SENTINEL, STAND_IN)).otherwise(text)
-    joined = docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(clean) == F.col("_k")), "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("me"), F.xxhash64(clean).alias("hash"))
+    joined = rows.join(side, F.col("me").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("key")), "left").withColumn("text", F.col("row.text").cast("string"))
     built = F.expr(
-        "aggregate(_marks, named_struct('at', 0, 'out', ''), (a, x) -> if(x.end <= a.at, a, named_struct('at', x.end, 'out', "
+        "aggregate(marks, named_struct('at', 0, 'out', ''), (a, x) -> if(x.end <= a.at, a, named_struct('at', x.end, 'out', "
         "concat(a.out, if(x.start < a.at, '', concat(substring(text, a.at + 1, x.start - a.at), '[', x.kind, ']'))))), "
         "a -> concat(a.out, substring(text, a.at + 1, char_length(text))))"
     )
-    out = {c: docs[c] for c in docs.columns}
-    new = F.when(F.col("_marks").isNull(), F.col("text")).otherwise(built)
-    joined = joined.withColumn("_new", new)
-    cols = [F.col("_new").alias(c) if c == "text" else F.char_length("_new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in out]
-    return joined.select(*cols)
+    joined = joined.withColumn("new", F.when(F.col("marks").isNull(), F.col("text")).otherwise(built))
+    kind = {f.name: f.dataType for f in docs.schema}
+    out = {"text": F.col("new"), "n_chars": F.char_length("new")}
+    return joined.select(*[out[c].cast(kind[c]).alias(c) if c in out else F.col("row")[c].alias(c) for c in docs.columns])

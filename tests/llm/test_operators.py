@@ -108,7 +108,7 @@ def _found(spark, rows):
 
 
 def test_left_contexts_are_whole_words(spark):
-    cases = [("we saw badge number: QX-7000-Z", "badge number: "), ("el n\u00famero 12345678", "el n\u00famero "), ("my ssn-nr 12345678", "my ssn-nr "), ("fuzzy\ty2\n12345678", "fuzzy\ty0\n")]
+    cases = [("we saw badge number: QX-7000-Z", "saw badge number: "), ("el n\u00famero 12345678", "el n\u00famero "), ("my ssn-nr 12345678", "my ssn-nr "), ("fuzzy\ty2\n12345678", "fuzzy\ty0\n")]
     rows = pii.mentions(pii.base_spans(spark.createDataFrame(list(enumerate(t for t, _ in cases)), "doc_id long, text string")), pii.Bootstrap())
     got = {r["doc_id"]: [m["left"] for m in r["mentions"]] for r in rows.collect()}
     assert got == {i: [left] for i, (_, left) in enumerate(cases)}
