@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Documents are taken in runs of about this many bytes (one document at least).
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)

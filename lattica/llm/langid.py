@@ -69,7 +69,7 @@ def language_counts(docs: DataFrame, s: Settings) -> dict[str, np.ndarray]:
         def step(batch):
             data, offsets = _text.text_buffers(batch.column("text"))
             langs = batch.column("lang").to_pylist()
-            for a, b in _text.runs(offsets, _text.RUN_BYTES // 4):
+            for a, b in _text.runs(offsets, _text.RUN_BYTES):
                 bins, doc = gram_bins(data, offsets[a : b + 1], s)
                 names = sorted(set(langs[a:b]))
                 code = np.array([names.index(x) for x in langs[a:b]])[doc]
@@ -180,7 +180,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             data, offsets = _text.text_buffers(col)
             texts = col.to_pylist()
             best, score, doubt = np.full(len(batch), len(model.langs)), np.zeros(len(batch)), np.ones(len(batch), bool)
-            for a, b in _text.runs(offsets, _text.RUN_BYTES // 4):
+            for a, b in _text.runs(offsets, _text.RUN_BYTES):
                 if not model.langs:
                     continue
                 bins, doc = gram_bins(data, offsets[a : b + 1], model.settings)

@@ -144,7 +144,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_len: int = 4
         def step(batch):
             data, offsets = _text.text_buffers(batch.column("text"))
             names = batch.column("doc_id")
-            for a, b in _text.runs(offsets, 2 * _text.RUN_BYTES):
+            for a, b in _text.runs(offsets, 4 * _text.RUN_BYTES):
                 ids, bounds = tok.encode(data, offsets[a : b + 1])
                 ids = np.insert(ids, bounds[1:], np.uint32(end_id)).astype("<u4")
                 counts = np.diff(bounds) + 1
