@@ -222,38 +222,48 @@ def context_totals(docs: DataFrame, patterns: DataFrame, loose: DataFrame) -> Da
     that token; ``loose(pattern)`` are those of mentions that start elsewhere in a token.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = docs.select(_words(_fold(text)).alias("w")).where(F.size("w") > 0)
+    words = docs.select(_words(_fold(text)).alias("w"))
     runs = lambda i: [f"if({i} >= {k - 1}, concat_ws(' ', {', '.join(f'w[{i} - {j}]' for j in range(k - 1, -1, -1))}), null)" for k in range(1, WORDS + 1)]
     few_patterns = patterns.limit(LITERAL_PATTERNS + 1).count() <= LITERAL_PATTERNS
+
+    def counted(found: DataFrame) -> DataFrame:
+        """(pattern, n): a text's patterns leave it once each, with their number."""
+        # no filter on sizes: it would be pushed down, and the arrays built once more for it
+        found = found.select(F.explode(F.transform(F.array_distinct("p"), lambda x: F.struct(x.alias("pattern"), F.size(F.filter("p", lambda y: y == x)).alias("n")))).alias("x"))
+        return found.select("x.pattern", F.col("x.n").cast("long").alias("n"))
+
     if few_patterns:
         # places are looked up by the patterns' last words, then by the patterns, and only what is one leaves the text
         known = [r[0] for r in patterns.collect()]
         last = sorted({p.rsplit(" ", 1)[-1] for p in known})
         at = F.filter(F.transform("w", lambda x, i: F.when(x.isin(last), i)), lambda i: i.isNotNull())
-        rows = words.select("w", at.alias("at")).where(F.size("at") > 0).select(F.flatten(F.expr(f"transform(at, i -> array({', '.join(runs('i'))}))")).alias("p"))
-        rows = rows.select(F.explode(F.filter("p", lambda x: x.isin(known))).alias("pattern"))
+        rows = words.select("w", at.alias("at")).select(F.flatten(F.expr(f"transform(at, i -> array({', '.join(runs('i'))}))")).alias("p"))
+        rows = counted(rows.select(F.filter("p", lambda x: x.isin(known)).alias("p")))
     else:
         rows = words.select(F.explode(F.array_compact(F.flatten(F.expr(f"transform(w, (x, i) -> array({', '.join(runs('i'))}))")))).alias("pattern"))
     # few tokens hold an inner run: they are taken out with the words before them, and only they are cut up
     clean = F.when(F.contains(text, F.lit(SENTINEL)), F.translate(text, SENTINEL, STAND_IN)).otherwise(text)
-    few = docs.select(_words(clean).alias("w")).where(F.size("w") > 0)
+    few = docs.select(_words(clean).alias("w"))
     places = F.filter(F.transform("w", lambda x, i: F.when(x.rlike(INNER), i)), lambda i: i.isNotNull())
     before = [f"if(i >= {j}, w[i - {j}], null)" for j in range(WORDS - 1, 0, -1)]
-    few = few.select("w", places.alias("at")).where(F.size("at") > 0).select(F.explode(F.expr(f"transform(at, i -> named_struct('a', array_compact(array({', '.join(before)})), 'b', w[i]))")).alias("x")).select("x.a", "x.b")
+    few = few.select("w", places.alias("at")).select(F.explode(F.expr(f"transform(at, i -> named_struct('a', array_compact(array({', '.join(before)})), 'b', w[i]))")).alias("x")).select("x.a", "x.b")
     if few_patterns:
         # only prefixes that some pattern ends with are looked at
         ends = F.expr(f"sequence(1, greatest(1, least(char_length(b) - 1, {min(LEFT, max(map(len, last), default=1))})))")
         prefix = lambda e: F.substring(F.col("b"), F.lit(1), e)
         found = F.filter(ends, lambda e: _fold(prefix(e)).isin(last) & prefix(e + 1).rlike(f"{INNER}$"))
-        few = few.select("a", "b", found.alias("ends")).where(F.size("ends") > 0).select(F.transform("a", _fold).alias("a"), F.transform("ends", lambda e: _fold(prefix(e))).alias("bs"))
+        few = few.select("a", "b", found.alias("ends")).select(F.transform("a", _fold).alias("a"), F.transform("ends", lambda e: _fold(prefix(e))).alias("bs"))
         contexts = F.flatten(F.transform("bs", lambda b: _patterns(F.concat_ws(" ", F.col("a"), b))))
-        few = few.select(F.explode(F.filter(contexts, lambda x: x.isin(known))).alias("pattern"))
+        few = counted(few.select(F.filter(contexts, lambda x: x.isin(known)).alias("p")))
     else:
         few = few.withColumn("_in", located(F.col("b"), INNER)).withColumn("_in", placed("_in")).select("a", "b", F.explode("_in.end").alias("end")).where(F.col("end") - 1 <= LEFT)
         few = few.select(F.transform("a", _fold).alias("a"), _fold(F.expr("substring(b, 1, end - 1)")).alias("b"))
         few = few.select(F.explode(_patterns(F.concat_ws(" ", "a", "b"))).alias("pattern"))
+    if few_patterns:
+        rows = rows.union(few).union(loose.where(F.col("pattern").isin(known)).withColumn("n", F.lit(1).cast("long")))
+        return rows.groupBy("pattern").agg(F.sum("n").alias("total"))
     rows = rows.union(few).union(loose)
-    if few_patterns or patterns.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if patterns.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(patterns), "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
     return rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).join(patterns, "pattern", "left_semi")
 
