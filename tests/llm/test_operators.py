@@ -250,3 +250,36 @@ def test_pipeline_against_brute_force(spark, tmp_path):
             continue
         assert got == kept, name
     assert cp.run(spark, str(tmp_path)).count() > 0
+
+
+def test_join_against_brute_force(spark):
+    # one passage that many sets share, near copies in a chain, sets on both sides of the threshold
+    passage = [f"p{i}" for i in range(40)]
+    texts = [" ".join([*passage, *(f"u{d}x{i}" for i in range(4 + d % 30))]) for d in range(150)]
+    texts += [" ".join(f"c{i}" if i >= d else f"d{i}" for i in range(60)) for d in range(12)]
+    texts += [" ".join(f"s{(d // 3)}w{i}" for i in range(3 + d % 3)) for d in range(30)] + [texts[0], texts[151], "one two", "One two", "", None]
+    _, want = components(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    low = {top: min(i for i, t in enumerate(want) if t == top) for top in set(want)}
+    for sizes in ({}, {"part_tokens": 500, "hot_local": 3, "hot_sets": 5}):
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(rows, **sizes).collect()}
+        assert got == {i: low[t] for i, t in enumerate(want)}
+
+
+def test_chat_ties_have_one_order(spark):
+    pairs = [(2 * k, 0, "user", f"a{k}") for k in range(12)] + [(2 * k + 1, 0, "user", t) for k in range(12) for t in (f"a{k}", f"b{k}")]
+    got = {r["conv_id"] for r in chat.format_chats(spark.createDataFrame(pairs, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {2 * k + 1 for k in range(12)}
+
+
+def test_clashing_columns_come_back_as_they_are(spark, docs):
+    named = docs.withColumns({c: F.lit(v) for c, v in {"n_words": -7, "kept": "mine", "_text": 1, "_lang": 2, "_row": 3, "_s": 4, "_k": 5, "row": 6, "marks": 7, "prob": 8, "topic": 9}.items()})
+    for out in (quality.keep_good(named), mixing.keep_sampled(named, {}, budget_share=1.0), pii.redact(named), ngram_join.keep_one(named)):
+        assert out.columns == named.columns
+        assert {(r["n_words"], r["kept"], r["_s"], r["marks"]) for r in out.select("n_words", "kept", "_s", "marks").collect()} == {(-7, "mine", 4, 7)}
+
+
+def test_secrets_by_context(spark):
+    rows = [(i, f'plain words here token = "{hashlib.sha256(str(i).encode()).hexdigest()[:40]}" and more') for i in range(6)] + [(10, 'then token = "hunter" too'), (11, "a token of love"), (12, '"quoted words" said she')]
+    found = _found(spark, rows)
+    assert all(found[i].startswith("id:") for i in range(6)) and found[11] == ""
