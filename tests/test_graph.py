@@ -136,3 +136,25 @@ def test_random_permutation_and_composition(spark):
     assert sorted(pairs(p).values()) == list(range(50))
     assert all(a == b for a, b in pairs(T.compose(p, T.invert(p))).items())
     assert spark.range(3).select(F.lit(1)).count() == 3
+
+
+def test_components_by_star_steps_as_in_one_task(spark):
+    import random
+
+    from lattica.operators.components import connected_components
+
+    rng = random.Random(5)
+    arcs = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(200)] + [(500, 500)]
+    edges = spark.createDataFrame(arcs, "src long, dst long").repartition(7)
+    one, many = ({r["id"]: r["component"] for r in connected_components(edges, one_task=n).collect()} for n in (10_000, 0))
+    up = {x: x for a in arcs for x in a}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in arcs:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    assert one == many == {x: top(x) for x in up}
