@@ -69,7 +69,7 @@ def tokenizer_path() -> str:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
-    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
