@@ -52,6 +52,8 @@ WORDS = 3
 COUNTED_MENTIONS = 50
 #: Patterns that may stand in a plan as literals; they are counted first.
 LITERAL_PATTERNS = 10_000
+#: One text in so many is counted first: what is too frequent there already is not counted over the corpus.
+SIEVE = 64
 
 
 @dataclass(frozen=True)
@@ -215,12 +217,14 @@ def _patterns(left: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.size(words) >= k, F.concat_ws(" ", *[F.try_element_at(words, F.lit(-i)) for i in range(k, 0, -1)])) for k in range(1, WORDS + 1)]))
 
 
-def context_totals(docs: DataFrame, patterns: DataFrame, loose: DataFrame) -> DataFrame:
-    """(pattern, total): how often each context stands in the corpus, over all documents.
+def context_totals(docs: DataFrame, patterns: DataFrame, loose: DataFrame | None = None) -> DataFrame:
+    """(pattern, total): how often each context of ``patterns(pattern)`` stands in ``docs``, over all of them.
 
     Contexts are runs of up to WORDS words, and what stands in a token before a run of it with the words before
     that token; ``loose(pattern)`` are those of mentions that start elsewhere in a token.
     """
+    if loose is None:
+        loose = patterns.select("pattern").limit(0)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = docs.select(_words(_fold(text)).alias("w"))
     runs = lambda i: [f"if({i} >= {k - 1}, concat_ws(' ', {', '.join(f'w[{i} - {j}]' for j in range(k - 1, -1, -1))}), null)" for k in range(1, WORDS + 1)]
@@ -268,6 +272,18 @@ def context_totals(docs: DataFrame, patterns: DataFrame, loose: DataFrame) -> Da
     return rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).join(patterns, "pattern", "left_semi")
 
 
+def sieved(docs: DataFrame, useful: DataFrame, boot: Bootstrap) -> DataFrame:
+    """The patterns of ``useful(pattern, n)`` that may still be confident; the others never are, so no result changes.
+
+    A pattern's hits are at most its ``n`` mentions, and its total is at least what some of the texts hold. Words that
+    are frequent everywhere fall out here, and the count over all texts is left with patterns rarely seen elsewhere.
+    """
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SIEVE)) == 0)
+    floor = materialize(context_totals(some, useful.select("pattern")), "floor")
+    frequent = F.coalesce(F.col("total"), F.lit(0)) * boot.min_confidence > F.col("n")
+    return useful.join(floor, "pattern", "left").where(~frequent).select("pattern")
+
+
 def bootstrap(docs: DataFrame, found: DataFrame, boot: Bootstrap) -> DataFrame:
     """(doc_id, key, extra): further spans, array<struct<start, end, kind, m>>, of the texts that have any.
 
@@ -282,9 +298,12 @@ def bootstrap(docs: DataFrame, found: DataFrame, boot: Bootstrap) -> DataFrame:
     edges = near.groupBy("pattern", F.xxhash64("m").alias("inst")).agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind")).join(bound, "pattern")
     edges = materialize(edges, "edges")
     open_ = F.col("kind").isNull() | (F.col("kind") == SEED)  # no base span
-    support = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"), F.sum(open_.cast("long")).alias("open"))
-    useful = support.where((F.col("instances") >= boot.min_support) & (F.col("open") > 0)).select("pattern")
+    support = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"), F.sum(open_.cast("long")).alias("open"), F.sum("n").alias("n"))
+    useful = support.where((F.col("instances") >= boot.min_support) & (F.col("open") > 0)).select("pattern", "n")
     useful = materialize(useful, "contexts")
+    if not useful.take(1):
+        return none
+    useful = materialize(sieved(docs, useful, boot), "sieved")
     if not useful.take(1):
         return none
     totals = materialize(context_totals(docs, useful, at.where("loose").select(F.explode(_patterns(F.col("left"))).alias("pattern"))), "totals")

@@ -283,3 +283,17 @@ def test_secrets_by_context(spark):
     rows = [(i, f'plain words here token = "{hashlib.sha256(str(i).encode()).hexdigest()[:40]}" and more') for i in range(6)] + [(10, 'then token = "hunter" too'), (11, "a token of love"), (12, '"quoted words" said she')]
     found = _found(spark, rows)
     assert all(found[i].startswith("id:") for i in range(6)) and found[11] == ""
+
+
+def test_sieve_changes_no_result(spark, monkeypatch):
+    rows = [(i, f'plain words and {1000 + i} more, token = "{hashlib.sha256(str(i).encode()).hexdigest()[:40]}" and {2000 + i} too') for i in range(8)]
+    rows += [(100 + i, "salt and pepper and oil and bread and so on") for i in range(200)] + [(None, None), (300, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for sieve in (1, 64, 10**9):
+        monkeypatch.setattr(pii, "SIEVE", sieve)
+        found.append(sorted((str(r["doc_id"]), r["spans"]) for r in pii.find(df).collect()))
+    assert found[0] == found[1] == found[2] and sum("id:" in s for _, s in found[0]) == 8
+    monkeypatch.setattr(pii, "SIEVE", 1)
+    useful = spark.createDataFrame([("and", 16), ('"', 8)], "pattern string, n long")
+    assert [r[0] for r in pii.sieved(df, useful, pii.Bootstrap()).collect()] == ['"']
