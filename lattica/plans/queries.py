@@ -23,8 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-ORDERS, ORDERS2 = views.orders_sql(), views.orders_sql(("1-URGENT", "2-HIGH"))
-EVENTS, PARTS, TREE = views.EVENTS_SQL, views.PARTS_SQL, views.TREE_SQL
+ORDERS, EVENTS, PARTS, TREE = views.ORDERS_SQL, views.EVENTS_SQL, views.PARTS_SQL, views.TREE_SQL
 
 
 def query(name: str, sql: str | None = None, view: str | None = None) -> Callable:
@@ -42,10 +41,6 @@ def _orders(s, d) -> Graph:
     return views.orders_graph(s, d)
 
 
-def _orders2(s, d) -> Graph:
-    return views.orders_graph(s, d, ("1-URGENT", "2-HIGH"))
-
-
 def _reversal(g: Graph) -> DataFrame:
     return g.nodes.select("id", (F.lit(g.n - 1) - F.col("id")).alias("new_id"))
 
@@ -158,14 +153,14 @@ SELECT count(*) AS nodes, sum(d)::BIGINT AS arcs, sum(loops)::BIGINT AS loops, c
   min(d) AS min_outdegree, (SELECT id FROM o ORDER BY d, id LIMIT 1) AS min_outdegree_node, max(d) AS max_outdegree, (SELECT id FROM o ORDER BY d DESC, id LIMIT 1) AS max_outdegree_node,
   (SELECT min(d) FROM i) AS min_indegree, (SELECT id FROM i ORDER BY d, id DESC LIMIT 1) AS min_indegree_node, (SELECT max(d) FROM i) AS max_indegree, (SELECT id FROM i ORDER BY d DESC, id DESC LIMIT 1) AS max_indegree_node,
   round(sum(CASE WHEN d > 1 THEN hi - lo + CASE WHEN lo >= id THEN 2 * (lo - id) ELSE -2 * (lo - id) - 1 END ELSE 0 END) / sum(d), 6) AS successor_avg_gap,
-  round(sum(far) / sum(d), 6) AS avg_locality FROM o""", ORDERS2)
+  round(sum(far) / sum(d), 6) AS avg_locality FROM o""", ORDERS)
 def graph_summary(s, d):
-    return S.summary(_orders2(s, d))
+    return S.summary(_orders(s, d))
 
 
-@query("log_deltas", "SELECT CAST(length(bin(abs(dst - src))) - 1 AS BIGINT) AS bin, count(*) AS arcs FROM g WHERE src <> dst GROUP BY 1", ORDERS2)
+@query("log_deltas", "SELECT CAST(length(bin(abs(dst - src))) - 1 AS BIGINT) AS bin, count(*) AS arcs FROM g WHERE src <> dst GROUP BY 1", ORDERS)
 def log_deltas(s, d):
-    return S.log_deltas(_orders2(s, d))
+    return S.log_deltas(_orders(s, d))
 
 
 LOG_GAP = """SELECT coalesce(sum(CASE WHEN b IS NULL THEN length(bin(abs(src - dst) + 1)) - 1 ELSE length(bin(dst - b)) - 1 END), 0)::BIGINT AS cost
@@ -182,9 +177,9 @@ def log_gap_cost(s, d):
 l AS (SELECT part, x, length(bin(x + 1)) - 1 AS lg FROM x)
 SELECT part, 'unary' AS code, sum(x + 1)::BIGINT AS bits FROM l GROUP BY part
 UNION ALL SELECT part, 'gamma', sum(2 * lg + 1)::BIGINT FROM l GROUP BY part
-UNION ALL SELECT part, 'delta', sum(lg + 2 * (length(bin(lg + 1)) - 1) + 1)::BIGINT FROM l GROUP BY part""", ORDERS2)
+UNION ALL SELECT part, 'delta', sum(lg + 2 * (length(bin(lg + 1)) - 1) + 1)::BIGINT FROM l GROUP BY part""", ORDERS)
 def code_sizes(s, d):
-    return S.code_sizes(_orders2(s, d)).where("code in ('unary', 'gamma', 'delta')")
+    return S.code_sizes(_orders(s, d)).where("code in ('unary', 'gamma', 'delta')")
 
 
 @query("graph_differences", "SELECT src, dst, 'left' AS side FROM g WHERE src = dst", EVENTS)
@@ -193,9 +188,9 @@ def graph_differences(s, d):
     return T.differences(g, T.without_loops(g))
 
 
-@query("asymmetric_arcs", "SELECT src, dst FROM g WHERE NOT EXISTS (SELECT 1 FROM g h WHERE h.src = g.dst AND h.dst = g.src)", ORDERS2)
+@query("asymmetric_arcs", "SELECT src, dst FROM g WHERE NOT EXISTS (SELECT 1 FROM g h WHERE h.src = g.dst AND h.dst = g.src)", ORDERS)
 def asymmetric_arcs(s, d):
-    g = _orders2(s, d)
+    g = _orders(s, d)
     return g.arcs.join(T.transpose(g).arcs, ["src", "dst"], "left_anti")
 
 
@@ -205,29 +200,29 @@ def _bfs_sql(roots: str, extra: str = "") -> str:
 
 
 @query("bfs", _bfs_sql("0, 7") + """ SELECT b.id, b.distance, CASE WHEN b.distance = 0 THEN b.id ELSE min(p.id) END AS pred
-FROM b LEFT JOIN g ON g.dst = b.id LEFT JOIN b p ON p.id = g.src AND p.distance = b.distance - 1 GROUP BY b.id, b.distance""", ORDERS2)
+FROM b LEFT JOIN g ON g.dst = b.id LEFT JOIN b p ON p.id = g.src AND p.distance = b.distance - 1 GROUP BY b.id, b.distance""", ORDERS)
 def bfs(s, d):
-    return V.bfs(_orders2(s, d), [0, 7])
+    return V.bfs(_orders(s, d), [0, 7])
 
 
-@query("bfs_filtered", _bfs_sql("2", "AND g.dst % 3 <> 0") + " SELECT id, distance FROM b", ORDERS2)
+@query("bfs_filtered", _bfs_sql("2", "AND g.dst % 3 <> 0") + " SELECT id, distance FROM b", ORDERS)
 def bfs_filtered(s, d):
-    return V.bfs(_orders2(s, d), [2], lambda i, p, k: i % 3 != 0).select("id", "distance")
+    return V.bfs(_orders(s, d), [2], lambda i, p, k: i % 3 != 0).select("id", "distance")
 
 
-@query("frontier_sizes", _bfs_sql("0") + " SELECT distance, count(*) AS size FROM b GROUP BY distance", ORDERS2)
+@query("frontier_sizes", _bfs_sql("0") + " SELECT distance, count(*) AS size FROM b GROUP BY distance", ORDERS)
 def frontier_sizes(s, d):
-    return V.frontier_sizes(V.bfs(_orders2(s, d), [0]))
+    return V.frontier_sizes(V.bfs(_orders(s, d), [0]))
 
 
-@query("ball", _bfs_sql("0") + " SELECT id, distance FROM b WHERE distance <= 4", ORDERS2)
+@query("ball", _bfs_sql("0") + " SELECT id, distance FROM b WHERE distance <= 4", ORDERS)
 def ball(s, d):
-    return V.ball(_orders2(s, d), 0, 4)
+    return V.ball(_orders(s, d), 0, 4)
 
 
 @query("bfs_order")
 def bfs_order(s, d):
-    return V.bfs_order(_orders2(s, d), [0])
+    return V.bfs_order(_orders(s, d), [0])
 
 
 @query("bfs_permutation")
@@ -280,7 +275,7 @@ def topological_levels(s, d):
 
 @query("acyclic", "SELECT 'tree' AS graph, true AS acyclic UNION ALL SELECT 'orders', false")
 def acyclic(s, d):
-    return s.createDataFrame([("tree", C.is_acyclic(views.tree_graph(s, d))), ("orders", C.is_acyclic(_orders2(s, d)))], "graph string, acyclic boolean")
+    return s.createDataFrame([("tree", C.is_acyclic(views.tree_graph(s, d))), ("orders", C.is_acyclic(_orders(s, d)))], "graph string, acyclic boolean")
 
 
 def _pagerank_sql(mode: str, rounds: int, alpha: float = 0.85) -> str:
@@ -295,14 +290,14 @@ p{i + 1} AS (SELECT v.id, v.p, {alpha} * (coalesce(got, 0) + {u.format(i=i)}) +
 
 for _mode in (R.STRONG, R.WEAK, R.PSEUDO):
 
-    @query(f"pagerank_{_mode}", _pagerank_sql(_mode, 5), ORDERS2)
+    @query(f"pagerank_{_mode}", _pagerank_sql(_mode, 5), ORDERS)
     def pagerank(s, d, mode=_mode):
-        return R.pagerank(_orders2(s, d), mode=mode, stop=P.max_iterations(5)).ranks.select("id", F.round("value", 9).alias("value"))
+        return R.pagerank(_orders(s, d), mode=mode, stop=P.max_iterations(5)).ranks.select("id", F.round("value", 9).alias("value"))
 
 
 @query("pagerank_converged")
 def pagerank_converged(s, d):
-    return R.pagerank(_orders2(s, d), stop=P.l1_norm(1e-6) | P.max_iterations(100)).ranks
+    return R.pagerank(_orders(s, d), stop=P.l1_norm(1e-6) | P.max_iterations(100)).ranks
 
 
 def _birank_sql(rounds: int) -> str:
@@ -353,7 +348,7 @@ def diameter(s, d):
 
 @query("ball_sketches")
 def ball_sketches(s, d):
-    return D.ball_sketches(_orders2(s, d), log2m=6, max_iterations=6).sums
+    return D.ball_sketches(_orders(s, d), log2m=6).sums
 
 
 @query("erdos_renyi")
@@ -390,4 +385,4 @@ def combine_labels(s, d):
 
 @query("label_propagation")
 def label_propagation(s, d):
-    return L.propagate(T.symmetrize(_orders(s, d), loops=False), 0.5, max_rounds=6).labels
+    return L.propagate(T.symmetrize(_orders(s, d), loops=False), 0.5).labels

@@ -28,20 +28,18 @@ def with_next(df: DataFrame, order: list[str], cols: list[str]) -> DataFrame:
     return out.withColumns(nexts).drop("_part", "_head")
 
 
-def orders_graph(spark: SparkSession, sf_dir: str, priorities: tuple[str, ...] = ("1-URGENT",)) -> Graph:
-    """Customer -> customer of the next order of these priorities, where its date is later."""
-    orders = _table(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin(*priorities)).select("o_orderkey", "o_custkey", "o_orderdate")
+def orders_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Customer -> customer of the next order, where its date is later."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     arcs = with_next(orders, ["o_orderkey"], ["o_custkey", "o_orderdate"]).where("next_o_orderdate > o_orderdate")
     n = _table(spark, sf_dir, "customer").agg(F.max("c_custkey") + 1).first()[0]
     return Graph(cut(arcs.select(F.col("o_custkey").alias("src"), F.col("next_o_custkey").alias("dst")).distinct()), n)
 
 
-def orders_sql(priorities: tuple[str, ...] = ("1-URGENT",)) -> str:
-    names = ", ".join(f"'{p}'" for p in priorities)
-    return f"""v AS (SELECT unnest(range((SELECT 1 + max(c_custkey) FROM customer))) AS id),
+ORDERS_SQL = """v AS (SELECT unnest(range((SELECT 1 + max(c_custkey) FROM customer))) AS id),
 g AS (SELECT DISTINCT o_custkey AS src, nxt AS dst FROM (
   SELECT o_custkey, o_orderdate, lead(o_custkey) OVER (ORDER BY o_orderkey) AS nxt, lead(o_orderdate) OVER (ORDER BY o_orderkey) AS nd
-  FROM orders WHERE o_orderpriority IN ({names})) WHERE nd > o_orderdate)"""
+  FROM orders) WHERE nd > o_orderdate)"""
 
 
 def events_graph(spark: SparkSession, sf_dir: str) -> Graph:
