@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from lattica.plans.loop import cut as materialize
 from lattica.plans.loop import forget
 
-__all__ = ["arrow_map", "forget", "materialize", "semi_join_checked", "table"]
+__all__ = ["arrow_map", "forget", "materialize", "release", "semi_join_checked", "table"]
 
 #: Rows and bytes per Arrow batch: a Python worker's memory stays bounded whatever the texts' lengths.
 BATCH_ROWS = 2000
@@ -33,6 +34,14 @@ def _limit_batches(spark: SparkSession) -> None:
         spark.conf.set(size, str(BATCH_BYTES))
 
 
+def release() -> None:
+    """Give freed memory back to the system: idle Python workers stay alive and would hold it through later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow with one state a task: ``make()`` returns the function that each batch goes through.
 
@@ -48,6 +57,8 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
         finish = getattr(step, "finish", None)
         if finish is not None:
             yield from finish()
+        del step, finish
+        release()
 
     return df.mapInArrow(run, schema)
 
