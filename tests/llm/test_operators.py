@@ -8,7 +8,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import chat, fingerprint, langid, mixing, ngram_join, packing, pii, quality, toxicity, urls
+from lattica.llm import _common, chat, fingerprint, langid, mixing, ngram_join, packing, pii, quality, toxicity, urls
+from lattica.llm._common import maybe_in
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 BASE = "the river ran over the stones and the town slept under a pale moon while nobody counted the lamps along the quay tonight because rain had come"
@@ -297,3 +298,48 @@ def test_sieve_changes_no_result(spark, monkeypatch):
     monkeypatch.setattr(pii, "SIEVE", 1)
     useful = spark.createDataFrame([("and", 16), ('"', 8)], "pattern string, n long")
     assert [r[0] for r in pii.sieved(df, useful, pii.Bootstrap()).collect()] == ['"']
+
+
+def test_key_filter_loses_nothing(spark, tmp_path):
+    spark.range(0, 30000, 3).union(spark.sql("select cast(null as bigint)")).write.parquet(str(tmp_path / "keys"))
+    keys, rows = spark.read.parquet(str(tmp_path / "keys")), spark.range(40000).union(spark.sql("select cast(null as bigint)"))
+    for chunk_keys in (1000, 50_000):
+        out = maybe_in(rows, keys, "id", chunk_keys=chunk_keys)
+        assert out.count() == 40001
+        got = {r["id"] for r in out.where("_maybe").collect()}
+        assert got >= {*range(0, 30000, 3), None} and len(got) < 10001 + 300
+    assert maybe_in(rows, keys.limit(0), "id").where("_maybe").count() == 0
+
+
+def test_texts_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """However many sets are wanted: what reads their texts again has no exchange below the Python worker."""
+    monkeypatch.setattr(_common, "BROADCAST_ROWS", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.range(5000).selectExpr("id as doc_id", "concat('a b c d e f g h ', id) as text").write.parquet(str(tmp_path / "docs"))
+    spark.range(0, 5000, 2).selectExpr("id as doc_id").write.parquet(str(tmp_path / "wanted"))
+    found = ngram_join._token_sets(spark.read.parquet(str(tmp_path / "docs")), spark.read.parquet(str(tmp_path / "wanted")), 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = plan[: plan.find("Initial Plan")] if "Initial Plan" in plan else plan
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" in plan
+    assert 2500 <= found.count() < 2600
+
+
+def test_sets_of_a_common_passage_do_not_meet(spark, monkeypatch):
+    """Sets that share a passage, but have no partner, are ruled out before shards meet, of which there are as many as squares."""
+    met = []
+    whole = ngram_join._meetings
+    monkeypatch.setattr(ngram_join, "_meetings", lambda sets, part: met.append(sets.count()) or whole(sets, part))
+    passage = [f"p{i}" for i in range(40)]
+    texts = [" ".join([*passage, *(f"u{d}x{i}" for i in range(30))]) for d in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(rows, part_tokens=500, hot_local=3, hot_sets=5).collect()}
+    assert got == {i: i for i in range(300)} and met and sum(met) == 0
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    status = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    before = status.size()
+    again = _common.materialize(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 10).alias("k")).count())
+    assert again.count() == 10 and status.size() <= before + 1  # the count's own
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
