@@ -1,4 +1,4 @@
-"""Distances: exact balls for small graphs, register sketches for large ones, eccentricities, radius and diameter."""
+"""Distances: exact balls by bit-parallel visits, register sketches for large graphs, eccentricities, radius and diameter."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.model import Graph
+from lattica.operators import packed
 from lattica.operators.components import strong_components
 from lattica.operators.transform import transpose
 from lattica.operators.visits import bfs
@@ -37,22 +40,55 @@ def all_distances(g: Graph, max_distance: int | None = None) -> DataFrame:
     return seen
 
 
+def ball_sizes(g: Graph) -> DataFrame:
+    """(root, distance, size): how many nodes are at each distance from each node, itself at 0; no pair becomes a row.
+
+    The arcs travel packed to every task (up to ``packed.PACKED_ARCS``); a task takes blocks of roots, and visits from all
+    roots of a block at once. Larger graphs go through ``all_distances`` and its limit.
+    """
+    spark = g.arcs.sparkSession
+    if not packed.fits(g):
+        return all_distances(g).groupBy("root", "distance").agg(F.count(F.lit(1)).alias("size"))
+    (src, dst), n, size = packed.collected(g), g.n, packed.BLOCK_ROOTS
+    blocks = -(-n // size)
+
+    def visit(batches):
+        lists = None
+        for batch in batches:
+            for block in batch.column("id").to_pylist():
+                lists = lists or (packed.Lists.of(n, src, dst), packed.Lists.of(n, dst, src))
+                root, distance, nodes = packed.ball_sizes(*lists, n, block * size, min(size, n - block * size))
+                rows = [pa.array(root.astype(np.int64)), pa.array(distance.astype(np.int32)), pa.array(nodes)]
+                yield pa.RecordBatch.from_arrays(rows, ["root", "distance", "size"])
+
+    parts = max(1, min(blocks, 4 * spark.sparkContext.defaultParallelism))
+    return cut(spark.range(0, blocks, 1, parts).mapInArrow(visit, "root long, distance int, size long"), "balls")
+
+
+def _size(pairs: DataFrame) -> Column:
+    return F.col("size") if "size" in pairs.columns else F.lit(1).cast("long")
+
+
 def neighbourhood_function(pairs: DataFrame) -> DataFrame:
-    """(distance, pairs): pairs within each distance."""
+    """(distance, pairs): pairs within each distance. ``pairs`` may be pairs or ball sizes."""
     from pyspark.sql import Window as W
 
-    at = pairs.groupBy("distance").agg(F.count(F.lit(1)).alias("here"))  # a row a distance
+    at = pairs.groupBy("distance").agg(F.sum(_size(pairs)).alias("here"))  # a row a distance
     return at.select("distance", F.sum("here").over(W.orderBy("distance").rowsBetween(W.unboundedPreceding, 0)).alias("pairs"))
 
 
 def centralities(pairs: DataFrame, discount: Callable[[int], float] | None = None) -> DataFrame:
-    """Per node, of the distances of paths that leave it: reachable nodes, sum of distances, harmonic, closeness, Lin, Nieminen."""
-    inverse = F.sum(F.when(F.col("distance") > 0, 1.0 / F.col("distance")).otherwise(0.0))
-    aggs = [F.count(F.lit(1)).alias("reachable"), F.sum("distance").alias("total"), inverse.alias("harmonic")]
+    """Per node, of the distances of paths that leave it: reachable nodes, sum of distances, harmonic, closeness, Lin, Nieminen.
+
+    ``pairs`` may be pairs or ball sizes.
+    """
+    size = _size(pairs)
+    inverse = F.sum(F.when(F.col("distance") > 0, size / F.col("distance")).otherwise(0.0))
+    aggs = [F.sum(size).alias("reachable"), F.sum(size * F.col("distance")).alias("total"), inverse.alias("harmonic")]
     if discount is not None:
         top = pairs.agg(F.max("distance")).first()[0] or 0
         values = F.array(*[F.lit(float(discount(i)) if i else 0.0) for i in range(top + 1)])
-        aggs.append(F.sum(F.element_at(values, F.col("distance") + 1)).alias("discounted"))
+        aggs.append(F.sum(size * F.element_at(values, F.col("distance") + 1)).alias("discounted"))
     out = pairs.groupBy(F.col("root").alias("id")).agg(*aggs)
     return from_sums(out)
 
@@ -72,6 +108,12 @@ def eccentricities(pairs: DataFrame) -> DataFrame:
     return out.join(into, "id")
 
 
+def exact_eccentricities(g: Graph) -> DataFrame:
+    """(id, forward, backward) as ``eccentricities`` has them, from ball sizes of the graph and of its transpose."""
+    far = [ball_sizes(x).groupBy(F.col("root").alias("id")).agg(F.max("distance").alias(name)) for x, name in ((g, "forward"), (transpose(g), "backward"))]
+    return far[0].join(far[1], "id")
+
+
 def default_radial(g: Graph) -> DataFrame:
     """(id) of the nodes that reach the largest strong component (of equal ones the one of the smallest node)."""
     sizes = strong_components(g)

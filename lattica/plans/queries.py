@@ -330,7 +330,7 @@ def neighbourhood_function(s, d):
 SELECT id, reachable, total, harmonic, round(CASE WHEN total = 0 THEN 0 ELSE 1.0::DOUBLE / total END, 9) AS closeness, round(CASE WHEN total = 0 THEN 1 ELSE (reachable * reachable)::DOUBLE / total END, 6) AS lin,
   (reachable * reachable - total)::DOUBLE AS nieminen FROM t""", EVENTS)
 def centralities(s, d):
-    out = D.centralities(D.all_distances(views.events_graph(s, d)))
+    out = D.centralities(D.ball_sizes(views.events_graph(s, d)))
     return out.withColumns({"harmonic": F.round("harmonic", 6), "closeness": F.round("closeness", 9), "lin": F.round("lin", 6)})
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import predicates as P
+from lattica.model import Graph
 from lattica.operators import components as C
 from lattica.operators import distances as D
 from lattica.operators import llp as L
@@ -107,6 +108,34 @@ def test_distances(spark):
     assert rows == ecc and (sweep.extremes.diameter, sweep.extremes.radius) == (4, 3)
 
 
+def test_ball_sizes_as_from_all_pairs(spark, monkeypatch):
+    # a random part over several blocks, a long path, loops, repeated arcs, nodes without arcs
+    rows = [tuple(r) for r in T.erdos_renyi(spark, 90, 0.03, seed=4).arcs.collect()]
+    rows += [(100 + i, 101 + i) for i in range(70)] + [(0, 0), (5, 5), (100, 101), (89, 100)]
+    g = from_arcs(spark, rows, n=180)
+    paired = D.all_distances(g)
+    want = {tuple(r) for r in paired.groupBy("root", "distance").count().collect()}
+    for roots in (64, 70, 512):
+        monkeypatch.setattr(D.packed, "BLOCK_ROOTS", roots)
+        monkeypatch.setattr(D.packed, "GATHER", 10 if roots == 70 else 500_000)
+        sizes = D.ball_sizes(g)
+        assert {tuple(r) for r in sizes.collect()} == want
+    for f in (D.neighbourhood_function, D.centralities):
+        rounded = [f(x).select(*[F.round(c, 9).alias(c) for c in f(x).columns]) for x in (sizes, paired)]
+        assert rounded[0].schema == rounded[1].schema and sorted(rounded[0].collect()) == sorted(rounded[1].collect())
+    assert sorted(D.exact_eccentricities(g).collect()) == sorted(D.eccentricities(paired).collect())
+    assert D.ball_sizes(from_arcs(spark, [], n=0)).count() == 0
+
+
+def test_distances_of_many_nodes(spark):
+    """A graph whose pairs are more than rows can be: 60,000 nodes in 600 rings."""
+    n, ring = 60_000, 100
+    ids = spark.range(n)
+    arcs = ids.select(F.col("id").alias("src"), F.when((F.col("id") + 1) % ring == 0, F.col("id") + 1 - ring).otherwise(F.col("id") + 1).alias("dst"))
+    found = D.neighbourhood_function(D.ball_sizes(Graph(arcs, n))).collect()
+    assert {r["distance"]: r["pairs"] for r in found} == {d: n * (d + 1) for d in range(ring)}
+
+
 def test_ball_sketches_is_near_exact(spark):
     g = T.erdos_renyi(spark, 60, 0.05, seed=2)
     exact = pairs(D.centralities(D.all_distances(g)).select("id", "reachable"))
