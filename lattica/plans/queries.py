@@ -337,7 +337,7 @@ def centralities(s, d):
 @query("eccentricities", PAIRS + """ SELECT f.id, f.forward, k.backward FROM (SELECT root AS id, max(distance) AS forward FROM b GROUP BY root) f
 JOIN (SELECT id, max(distance) AS backward FROM b GROUP BY id) k ON k.id = f.id""", EVENTS)
 def eccentricities(s, d):
-    return D.eccentricities(D.all_distances(views.events_graph(s, d)))
+    return D.exact_eccentricities(views.events_graph(s, d))
 
 
 @query("diameter", PAIRS + " SELECT max(distance) AS diameter FROM b", EVENTS)
