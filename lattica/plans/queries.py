@@ -323,7 +323,7 @@ PAIRS = """+ b(root, id, distance) USING KEY (root, id) AS (SELECT id, id, 0 FRO
 
 @query("neighbourhood_function", PAIRS + " SELECT distance, (sum(count(*)) OVER (ORDER BY distance))::BIGINT AS pairs FROM b GROUP BY distance", EVENTS)
 def neighbourhood_function(s, d):
-    return D.neighbourhood_function(D.all_distances(views.events_graph(s, d)))
+    return D.neighbourhood_function(D.ball_sizes(views.events_graph(s, d)))
 
 
 @query("centralities", PAIRS + """, t AS (SELECT root AS id, count(*) AS reachable, sum(distance)::BIGINT AS total, round(sum(CASE WHEN distance > 0 THEN 1.0::DOUBLE / distance ELSE 0 END), 6) AS harmonic FROM b GROUP BY root)
