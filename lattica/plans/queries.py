@@ -342,8 +342,7 @@ def eccentricities(s, d):
 
 @query("diameter", PAIRS + " SELECT max(distance) AS diameter FROM b", EVENTS)
 def diameter(s, d):
-    g = views.events_graph(s, d)
-    return D.eccentricities(D.all_distances(g)).agg(F.max("forward").alias("diameter"))
+    return D.ball_sizes(views.events_graph(s, d)).agg(F.max("distance").alias("diameter"))
 
 
 @query("ball_sketches")
