@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattica.model import Graph
+from lattica.operators import packed
 from lattica.plans.loop import cut
 
 #: Arcs up to which an order that only a sequential visit can give is computed on the driver.
@@ -90,23 +93,43 @@ def bfs_order(g: Graph, roots: list[int]) -> DataFrame:
 def bfs_permutation(g: Graph) -> DataFrame:
     """(id, new_id): the order of a breadth-first visit of all nodes, restarted at the smallest one left.
 
-    Restarts depend on all visits before, so the order comes from the driver; larger graphs are refused.
+    Up to ``packed.PACKED_ARCS`` arcs the driver visits them packed; larger graphs take ``restarted_order``.
     """
-    succ = _on_driver(g)
-    seen, order = [False] * g.n, []
-    for root in range(g.n):
-        if seen[root]:
-            continue
-        seen[root] = True
-        queue, at = [root], 0
-        while at < len(queue):
-            for y in succ.get(queue[at], ()):
-                if not seen[y]:
-                    seen[y] = True
-                    queue.append(y)
-            at += 1
-        order.extend(queue)
-    return g.arcs.sparkSession.createDataFrame([(x, i) for i, x in enumerate(order)], "id long, new_id long")
+    if not packed.fits(g):
+        return restarted_order(g)
+    order = packed.visit_order(packed.Lists.of(g.n, *packed.collected(g)), g.n)
+    return g.arcs.sparkSession.createDataFrame(pa.table({"id": pa.array(order.astype(np.int64)), "new_id": pa.array(np.arange(len(order), dtype=np.int64))}), "id long, new_id long")
+
+
+def restarted_order(g: Graph) -> DataFrame:
+    """(id, new_id) as ``bfs_permutation`` has it, by frontier loops over plans, for graphs of any size.
+
+    The restart that visits a node is the smallest node with a path to it: these labels come first. A shortest path from
+    there has the same label all along, so that all restarts are visited together, and stand one after the other in the end.
+    """
+    from lattica.operators.transform import global_rank
+
+    arcs = g.arcs.select("src", "dst").where("src != dst").distinct().persist()
+    label = changed = cut(g.nodes.select("id", F.col("id").alias("root")))
+    while changed.take(1):
+        low = arcs.join(changed.select(F.col("id").alias("src"), "root"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("root").alias("low"))
+        both = label.join(low, "id", "left")
+        now = cut(both.select("id", F.least("root", "low").alias("root"), (F.col("low") < F.col("root")).alias("changed")))
+        label, changed = now.select("id", "root"), now.where("changed").select("id", "root")
+    of_src, of_dst = (label.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root")) for c in ("src", "dst"))
+    inner = cut(arcs.join(of_src, "src").join(of_dst, "dst").where("src_root = dst_root").select("src", "dst"))
+    arcs.unpersist()
+    level = label.where("id = root").select("id", "root", F.lit(0).alias("distance"), F.col("id").alias("rank"))
+    seen = level = cut(level)
+    distance = 0
+    while True:
+        distance += 1
+        found = inner.join(level.select(F.col("id").alias("src"), "root", F.col("rank").alias("up")), "src").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
+        fresh = cut(found.groupBy(F.col("dst").alias("id"), "root").agg(F.min("up").alias("up")))
+        if not fresh.take(1):
+            return global_rank(seen, "root", "distance", "rank").select("id", F.col("rank").alias("new_id"))
+        level = cut(global_rank(fresh, "up", "id").select("id", "root", F.lit(distance).alias("distance"), "rank"))
+        seen = cut(seen.union(level)) if distance % 8 == 0 else seen.union(level)
 
 
 def _on_driver(g: Graph) -> dict[int, list[int]]:

@@ -154,6 +154,32 @@ def test_labels(spark):
     assert L.parse_gammas(["-0", "-1", "3-2", "2"]) == [1.0, 0.5, 0.75, 2.0]
 
 
+def test_visit_orders_by_plans_as_packed(spark, monkeypatch):
+    """Restarts in the middle of what is left, equal levels, nodes without arcs; and no limit of arcs ends in an error."""
+    def plain(rows, n):
+        succ, seen, order = {}, set(), []
+        for a, b in sorted(set(rows)):
+            succ.setdefault(a, []).append(b)
+        for root in range(n):
+            queue = [] if root in seen else [root]
+            seen.add(root)
+            for x in queue:
+                for y in succ.get(x, ()):
+                    if y not in seen:
+                        seen.add(y)
+                        queue.append(y)
+            order += queue
+        return {x: i for i, x in enumerate(order)}
+
+    rows = [tuple(r) for r in T.erdos_renyi(spark, 40, 0.04, seed=6).arcs.collect()] + [(45, 3), (45, 41), (44, 45), (7, 7), (45, 3)]
+    g = from_arcs(spark, rows, n=48)
+    want = plain(rows, 48)
+    monkeypatch.setattr(V, "DRIVER_ARCS", 10)
+    assert pairs(V.bfs_permutation(g)) == want
+    monkeypatch.setattr(V.packed, "PACKED_ARCS", 10)
+    assert pairs(V.bfs_permutation(g)) == want
+
+
 def test_predicates():
     stop = P.max_iterations(3) & P.l1_norm(0.1)
     assert not stop(P.State(iteration=3, l1=0.2)) and stop(P.State(iteration=3, l1=0.1))
