@@ -154,6 +154,30 @@ def test_labels(spark):
     assert L.parse_gammas(["-0", "-1", "3-2", "2"]) == [1.0, 0.5, 0.75, 2.0]
 
 
+def test_packed_labels_as_from_plans(spark, monkeypatch):
+    g = T.symmetrize(T.erdos_renyi(spark, 60, 0.06, seed=5), loops=False)
+    for gamma, seed in ((0.0, 0), (0.5, 3)):
+        layers = []
+        for most in (1_000_000, 0):
+            monkeypatch.setattr(L.packed, "PACKED_ARCS", most)
+            layers.append(L.propagate(g, gamma, seed, max_rounds=5))
+        assert pairs(layers[0].labels) == pairs(layers[1].labels) and layers[0].updates == layers[1].updates
+    monkeypatch.undo()
+    # rounds on the table's plans are some jobs each; packed ones are one task
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    L.propagate(g, 0.5, 3)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - jobs < 20
+    assert pairs(L.propagate(from_arcs(spark, [], n=3), 0.5).labels) == {0: 0, 1: 1, 2: 2}
+
+
+def test_spark_hashes():
+    import numpy as np
+
+    # select xxhash64(-5L, 3, 0), xxhash64(123456789012L, 7L, 0, 9)
+    got = [int(L.packed.xxhash64(np.array([-5]), 3, 0)[0]), int(L.packed.xxhash64(np.array([123456789012]), np.array([7]), 0, 9)[0])]
+    assert got == [-5357943967898918896, 5080363765717404198]
+
+
 def test_visit_orders_by_plans_as_packed(spark, monkeypatch):
     """Restarts in the middle of what is left, equal levels, nodes without arcs; and no limit of arcs ends in an error."""
     def plain(rows, n):
