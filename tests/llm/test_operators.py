@@ -343,3 +343,15 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
     again = _common.materialize(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 10).alias("k")).count())
     assert again.count() == 10 and status.size() <= before + 1  # the count's own
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_rows_that_no_group_rules_are_not_shuffled(spark, tmp_path):
+    """However many rows go: the rows themselves reach no exchange but those that the key filter lets through."""
+    rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(20))) for i in range(40)] + [(100 + i, " ".join(f"v{i}x{j}" for j in range(20))) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    out = ngram_join.keep_one(spark.read.parquet(str(tmp_path / "docs")))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(r["doc_id"] for r in out.collect()) == [*range(0, 40, 2), *range(100, 140)]
+    assert plan.startswith("Union") and "_words" in plan
