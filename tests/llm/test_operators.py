@@ -355,3 +355,26 @@ def test_rows_that_no_group_rules_are_not_shuffled(spark, tmp_path):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorted(r["doc_id"] for r in out.collect()) == [*range(0, 40, 2), *range(100, 140)]
     assert plan.startswith("Union") and "_words" in plan
+
+
+def test_sure_filter_tells_all_but_a_few(spark, tmp_path):
+    spark.range(0, 60000).selectExpr("id", "if(id = 7, null, id) as k").write.parquet(str(tmp_path / "every"))
+    every = spark.read.parquet(str(tmp_path / "every"))
+    every.where("id % 3 > 0").write.parquet(str(tmp_path / "keys"))
+    out, _ = _common.surely_in(every, spark.read.parquet(str(tmp_path / "keys")), every, "k")
+    got = {r["id"]: r["_in"] for r in out.collect()}
+    assert len(got) == 60000 and all(v is None or v == (i % 3 > 0) for i, v in got.items())
+    assert sum(v is None for v in got.values()) < 300
+
+
+def test_copies_are_neither_indexed_nor_shuffled(spark, tmp_path, monkeypatch):
+    """Of each text one row is indexed, and rows that go are dropped where they are, but for a few."""
+    rows = [(1000 * c + i if c else None if i == 3 else i, " ".join(f"w{i}x{j}" for j in range(20))) for c in range(9) for i in range(30)] + [(5, None), (None, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs, indexed, asked = spark.read.parquet(str(tmp_path / "docs")), [], []
+    groups, maybe = ngram_join.candidate_groups, ngram_join.maybe_in
+    monkeypatch.setattr(ngram_join, "candidate_groups", lambda d, *a, **b: indexed.append(d.where("length(trim(text)) > 0").count()) or groups(d, *a, **b))
+    monkeypatch.setattr(ngram_join, "maybe_in", lambda r, *a, **b: (asked.append(r.count()) if "row" in r.columns else None) or maybe(r, *a, **b))
+    kept = ngram_join.keep_one(docs)
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([*(i for i in range(30) if i != 3), 1003, 5, None])
+    assert 30 <= indexed[0] < 40 and 32 <= asked[-1] < 42
