@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -378,3 +380,25 @@ def test_copies_are_neither_indexed_nor_shuffled(spark, tmp_path, monkeypatch):
     kept = ngram_join.keep_one(docs)
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([*(i for i in range(30) if i != 3), 1003, 5, None])
     assert 30 <= indexed[0] < 40 and 32 <= asked[-1] < 42
+
+
+def test_groups_of_a_large_bundle_travel_packed():
+    ids = np.arange(1, 7, dtype=np.int64)
+    groups = pa.array([[{"gid": 100 + g, "probe": True} for g in range(50)]] * 6, pa.list_(pa.struct([("gid", pa.int64()), ("probe", pa.bool_())])))
+    tokens = pa.array([[10 * i + j for j in range(10)] for i in range(6)], pa.list_(pa.int64()))
+    table = pa.table({"part": pa.array([9] * 6, pa.int64()), "parts": pa.array([2] * 6, pa.int64()), "set_id": pa.array(ids), "component": pa.array(ids), "tokens": tokens, "groups": groups})
+    out = ngram_join._own_part(table, 75)
+    held = [r for r in out.to_pylist() if r["kind"] == ngram_join.HELD]
+    assert len(held) == 6 and all(np.frombuffer(r["gids"], np.int64).tolist() == list(range(100, 150)) for r in held)
+
+
+def test_split_groups(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(p), int(c), np.unique(rng.integers(0, 60, 12)).astype(np.int64).tobytes()) for p in range(4) for c in rng.integers(0, 40, 6)]
+    by: dict = {}
+    for p, c, gids in rows:
+        for g in np.frombuffer(gids, np.int64).tolist():
+            by.setdefault(g, []).append((p, c))
+    want = sorted((p, g) for g, x in by.items() if len({c for _, c in x}) > 1 for p in {p for p, _ in x})
+    got = ngram_join._split_groups(spark.createDataFrame(rows, "part long, component long, gids binary"), 300)
+    assert sorted((r["part"], r["src"]) for r in got.collect()) == want
