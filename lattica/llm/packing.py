@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lattica.llm import _text
 from lattica.llm._common import arrow_map
 
-#: Words of a task's memory; beyond that it starts anew (only speed depends on it).
+#: Words of a task's memory; beyond that those met in one run only go, or all (only speed depends on it).
 MEMORY = 200_000
 
 
@@ -52,6 +52,8 @@ class WordTokenizer:
         self.reset()
         #: Texts of which NFC, lower-casing and white space are plain: printable ASCII and Latin-1 letters.
         self.plain = regex.compile("[!-;=-~À-ÿ]*+")
+        #: Ids of what mostly follows the letters of a word.
+        self.marks = {m: self.piece(m) if m else [] for m in ("", ".", ",")}
 
     def reset(self) -> None:
         #: Hashes of the known words, rising, and the place of each in ``ends``.
@@ -60,16 +62,30 @@ class WordTokenizer:
         #: The ids of word p are ids[ends[p]:ends[p + 1]].
         self.ends = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        #: Whether each of the known words was met again after its first run.
+        self.again = np.zeros(0, bool)
+
+    def thin(self) -> None:
+        """Forget the words that were not met again; all, if most were."""
+        stay = np.flatnonzero(self.again)
+        if 2 * len(stay) > MEMORY:
+            return self.reset()
+        start = self.ends[self.place[stay]]
+        length = self.ends[self.place[stay] + 1] - start
+        to = np.concatenate([[0], np.cumsum(length)])
+        self.ids = self.ids[np.repeat(start - to[:-1], length) + np.arange(to[-1])]
+        self.known, self.place, self.ends, self.again = self.known[stay], np.arange(len(stay)), to, np.zeros(len(stay), bool)
 
     def piece(self, text: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+        # printable ASCII stands for itself
+        return [t.id for t in self.model.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(self.letters))]
 
     def ids_of(self, text: str) -> list[int]:
         """Ids of one word."""
         bare = text.rstrip(".,")
-        if text.isascii() and bare.isalpha():
+        if bare.isalpha() and (text.isascii() or self.plain.fullmatch(text)):
             marks = text[len(bare) :]
-            return self.piece(bare.lower()) + self.piece(marks) if marks else self.piece(bare.lower())
+            return self.piece(bare.lower()) + (self.marks[marks] if marks in self.marks else self.piece(marks))
         if self.plain.fullmatch(text):
             return [i for p in self.split.findall(text.lower()) for i in self.piece(p)]
         return self.full.encode(text, add_special_tokens=False).ids
@@ -80,6 +96,7 @@ class WordTokenizer:
         at = np.searchsorted(self.known, hashes)
         self.known = np.insert(self.known, at, hashes)
         self.place = np.insert(self.place, at, len(self.ends) - 1 + np.arange(len(ids)))
+        self.again = np.insert(self.again, at, False)
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids])])
         self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], np.uint32)])
 
@@ -89,7 +106,7 @@ class WordTokenizer:
         Each distinct word of the run is looked up once, by its 64-bit hash.
         """
         if len(self.known) > MEMORY:
-            self.reset()
+            self.thin()
         w = _text.Words(data, offsets)
         if not len(w.hash):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
@@ -99,10 +116,15 @@ class WordTokenizer:
         np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
         keys, where = ordered[first], order[first]
         at = np.searchsorted(self.known, keys)
-        new = np.flatnonzero(at == len(self.known)) if not len(self.known) else np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != keys)
+        fresh = np.ones(len(keys), bool)
+        if len(self.known):
+            fresh = self.known[np.minimum(at, len(self.known) - 1)] != keys
+            self.again[at[~fresh]] = True
+        new = np.flatnonzero(fresh)
         if len(new):
+            raw = w.data.tobytes()
             spans = zip(w.start[where[new]].tolist(), w.end[where[new]].tolist(), strict=True)
-            self.learn(keys[new], [w.data[a:b].tobytes().decode() for a, b in spans])
+            self.learn(keys[new], [raw[a:b].decode() for a, b in spans])
             at = np.searchsorted(self.known, keys)
         word = np.empty(len(order), np.int64)
         word[order] = self.place[at][np.cumsum(first) - 1]

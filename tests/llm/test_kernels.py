@@ -135,3 +135,19 @@ def test_toxicity_learns_planted_words():
     assert right >= 90
     assert toxicity.fit_texts([("a", 1)]) is None
     assert os.path.exists(__file__)
+
+
+def test_words_met_again_stay_in_the_tokenizer_memory(monkeypatch):
+    import public_tokenizers as P
+
+    monkeypatch.setattr(packing, "MEMORY", 100)
+    tok = packing.WordTokenizer(P.path("word_bpe_49k.json"))
+    learned, learn = Counter(), tok.learn
+    monkeypatch.setattr(tok, "learn", lambda hashes, texts: (learned.update(texts), learn(hashes, texts)))
+    for run in range(30):
+        words = [f"often{chr(97 + i)}" for i in range(20)] + [f"r{run}x{i},." for i in range(40)] + ["Über.", "çà,", "ªb.", "ä'b."]
+        text = " ".join(words)
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids, bounds = tok.encode(data, np.array([0, len(data)]))
+        assert ids.tolist() == tok.full.encode(text, add_special_tokens=False).ids and bounds.tolist() == [0, len(ids)]
+    assert len(tok.known) < 200 and all(learned[f"often{chr(97 + i)}"] == 1 for i in range(20))
