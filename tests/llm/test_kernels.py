@@ -151,3 +151,12 @@ def test_words_met_again_stay_in_the_tokenizer_memory(monkeypatch):
         ids, bounds = tok.encode(data, np.array([0, len(data)]))
         assert ids.tolist() == tok.full.encode(text, add_special_tokens=False).ids and bounds.tolist() == [0, len(ids)]
     assert len(tok.known) < 200 and all(learned[f"often{chr(97 + i)}"] == 1 for i in range(20))
+
+
+def test_release_drops_what_runs_have_left():
+    from lattica.llm._common import release
+
+    data, offsets = _text.text_buffers(pa.array(["a b " * 500_000]))
+    assert len(_text.Words(data, offsets).hash) == 1_000_000 and sum(x.nbytes for x in _text._powers.values()) > 30_000_000
+    release()
+    assert not _text._powers
